@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN: dict[str, str] = {}
 
 
@@ -48,7 +49,12 @@ class Stash:
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        held = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, min(int(held), 2000) if int(held) > 0 else 2000)  # whole texts: small batches bound the workers' memory
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, held)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._release()

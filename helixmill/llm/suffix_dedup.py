@@ -49,6 +49,8 @@ from helixmill.llm.grams import Rolling, anchors, mix
 
 LENGTH = 100
 K = 50
+#: Rows that a Python worker holds before it hands them on.
+CHUNK = 100_000
 
 
 def _u(x: np.ndarray) -> pa.Array:
@@ -73,24 +75,34 @@ def _anchor_rows(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling()
         for batch in batches:
-            tie = batch.column(1).to_numpy(zero_copy_only=False)
             seeds, reach, row, pos = [], [], [], []
+
+            def rows(batch=batch, seeds=seeds, reach=reach, row=row, pos=pos) -> pa.RecordBatch:
+                r = pa.array(np.repeat(row, [len(x) for x in pos]))
+                out = pa.RecordBatch.from_arrays([_u(np.concatenate(seeds)), _u(np.concatenate(reach)), batch.column(0).take(r), batch.column(1).take(r), pa.array(np.concatenate(pos).astype(np.int32))], names=["seed", "reach", "doc", "tie", "pos"])
+                for x in (seeds, reach, row, pos):
+                    x.clear()
+                return out
+
+            held = 0
             for i, text in enumerate(batch.column(2)):
                 raw = text.as_buffer() if text.is_valid else b""
-                data = np.frombuffer(raw, np.uint8) if text.is_valid and len(raw) else np.zeros(0, np.uint8)
-                n = len(data)
+                n = len(raw) if text.is_valid else 0
                 if n < length:
                     continue
-                p = roll.prefix(data)
+                p = roll.prefix(np.frombuffer(raw, np.uint8))
                 g = roll.grams(p, k)
                 a = anchors(g, w)
                 seeds.append(g[a])
                 reach.append(roll.slices(p, np.maximum(a - (w - 1), 0), np.minimum(a + length, n)))
-                row.append(np.full(len(a), i))
+                row.append(i)
                 pos.append(a)
-            if seeds:
-                r = np.concatenate(row)
-                yield pa.RecordBatch.from_arrays([_u(np.concatenate(seeds)), _u(np.concatenate(reach)), batch.column(0).take(pa.array(r)), pa.array(tie[r].astype(np.int32)), pa.array(np.concatenate(pos).astype(np.int32))], names=["seed", "reach", "doc", "tie", "pos"])
+                held += len(a)
+                if held >= CHUNK:
+                    held = 0
+                    yield rows()
+            if row:
+                yield rows()
 
     return run
 
@@ -102,6 +114,14 @@ def _contexts(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, pos, start, ctx = [], [], [], []
+
+            def rows(batch=batch, row=row, pos=pos, start=start, ctx=ctx) -> pa.RecordBatch:
+                r = pa.array(row, pa.int64())
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(r), batch.column(1).take(r), pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(ctx, pa.binary())], names=["doc", "tie", "pos", "start", "ctx"])
+                for x in (row, pos, start, ctx):
+                    x.clear()
+                return out
+
             for i, (text, where) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 data = memoryview(text.as_buffer())
                 for p in where.as_py():
@@ -109,8 +129,9 @@ def _contexts(length: int, k: int):
                     pos.append(p)
                     start.append(max(0, p - (w - 1)))
                     ctx.append(bytes(data[start[-1] : p + length]))
-            r = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(r), batch.column(1).take(r), pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(ctx, pa.binary())], names=["doc", "tie", "pos", "start", "ctx"])
+                if len(row) >= CHUNK // 8:
+                    yield rows()
+            yield rows()
 
     return run
 
