@@ -61,13 +61,22 @@ class Stash:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for f in frames:
             path = self.paths.pop(id(f), None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                self._delete(path)
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but these."""
+        paths = {self.paths[id(f)] for f in kept}
+        for i, path in list(self.paths.items()):
+            if path not in paths:
+                self._delete(path)
+                del self.paths[i]
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _release(self) -> None:
         """Let the driver's cleaner remove shuffle files that the written table has made useless."""

@@ -69,6 +69,11 @@ def with_tie(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumn("__tie", F.dense_rank().over(w) - 1)
 
 
+def increasing(keys: pa.Array) -> bool:
+    """Whether integer keys rise strictly from row to row."""
+    return pa.types.is_integer(keys.type) and not keys.null_count and bool((np.diff(keys.to_numpy()) > 0).all())
+
+
 def _anchor_rows(length: int, k: int):
     w = length - k + 1
 
@@ -78,8 +83,23 @@ def _anchor_rows(length: int, k: int):
             seeds, reach, row, pos = [], [], [], []
 
             def rows(batch=batch, seeds=seeds, reach=reach, row=row, pos=pos) -> pa.RecordBatch:
-                r = pa.array(np.repeat(row, [len(x) for x in pos]))
-                out = pa.RecordBatch.from_arrays([_u(np.concatenate(seeds)), _u(np.concatenate(reach)), batch.column(0).take(r), batch.column(1).take(r), pa.array(np.concatenate(pos).astype(np.int32))], names=["seed", "reach", "doc", "tie", "pos"])
+                r = np.repeat(row, [len(x) for x in pos])
+                s, o, p = np.concatenate(seeds), np.concatenate(reach), np.concatenate(pos)
+                to, sure = p.copy(), np.zeros(len(p), bool)
+                if increasing(batch.column(0)):
+                    # rows stand in the order of documents: what comes again in this chunk is known as a repeat
+                    first = np.zeros(len(p), bool)
+                    first[np.unique(mix(s) ^ o, return_index=True)[1]] = True
+                    sure = ~first
+                    # neighbouring repeats of a document become one range, dealt out by a number of its own
+                    head = sure & np.r_[True, ~sure[:-1] | (r[1:] != r[:-1])]
+                    last = sure & np.r_[~sure[1:] | (r[1:] != r[:-1]), True]
+                    to[head] = p[last]
+                    keep = first | head
+                    s[head] = mix(s[head] + p[head].astype(np.uint64) * np.uint64(2) + np.uint64(r[0] + 1))
+                    r, s, o, p, to, sure = (x[keep] for x in (r, s, o, p, to, sure))
+                r = pa.array(r)
+                out = pa.RecordBatch.from_arrays([_u(s), _u(o), batch.column(0).take(r), batch.column(1).take(r), pa.array(p.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(sure)], names=["seed", "reach", "doc", "tie", "pos", "to", "sure"])
                 for x in (seeds, reach, row, pos):
                     x.clear()
                 return out
@@ -161,7 +181,9 @@ def _split_rows(length: int):
             tag = mix((lo * 1000 + hi).astype(np.uint64))
             cols = [_u(h.slices(p, x + off, y + off) + t) for x, y, t in ((c0, c1, tag), (s0, e0, np.zeros(n, np.uint64))) for h, p in ((a, pa_), (b, pb_))]
             ok = (e0 - s0 >= length) & (c1 <= end) & (c0 >= start)
-            out = pa.RecordBatch.from_arrays([*batch.columns, *cols, pa.array(s0.astype(np.int32)), pa.array(e0.astype(np.int32))], names=[*batch.schema.names, "c1", "c2", "o1", "o2", "s0", "e0"])
+            reach = pa.array([x.as_py()[y:z] for x, y, z in zip(ctx, s0 - start, np.maximum(e0 - start, 0), strict=True)], pa.binary())
+            left = [*batch.columns[:3], pa.array(s0.astype(np.int32)), reach, *batch.columns[5:]]
+            out = pa.RecordBatch.from_arrays([*left, *cols, pa.array(s0.astype(np.int32)), pa.array(e0.astype(np.int32))], names=[*batch.schema.names, "c1", "c2", "o1", "o2", "s0", "e0"])
             yield out.filter(pa.array(ok))
 
     return run
@@ -177,16 +199,16 @@ def repeated_ranges(docs: DataFrame, stash: Stash, key: str = "doc_id", text: st
     width = length - k
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("doc"), F.col("__tie").alias("tie"), F.col(text).alias("text"))
-    rows = src.mapInArrow(_anchor_rows(length, k), f"seed long, reach long, doc {kind}, tie int, pos int")
+    rows = src.mapInArrow(_anchor_rows(length, k), f"seed long, reach long, doc {kind}, tie int, pos int, to int, sure boolean")
     same = Window.partitionBy("seed", "reach").orderBy("doc", "tie", "pos")
     seed = Window.partitionBy("seed")
     first = stash.put(
         rows.repartition("seed")
         .select("*", F.rank().over(same).alias("nth"), (F.min("reach").over(seed) != F.max("reach").over(seed)).alias("open"))
-        .where("nth > 1 or open")
-        .select("doc", "tie", "pos", (F.col("nth") > 1).alias("again"))
+        .where("sure or nth > 1 or open")
+        .select("doc", "tie", "pos", "to", (F.col("sure") | (F.col("nth") > 1)).alias("again"))
     )
-    marks = [first.where("again").select("doc", "tie", F.greatest(F.lit(0), F.col("pos") - width).alias("s"), (F.col("pos") + length).alias("e"))]
+    marks = [first.where("again").select("doc", "tie", F.greatest(F.lit(0), F.col("pos") - width).alias("s"), (F.col("to") + length).alias("e"))]
     live = first.where("not again").groupBy("doc", "tie").agg(F.collect_set("pos").alias("where"))
     current = (
         src.join(live, src["doc"].eqNullSafe(live["doc"]) & (src["tie"] == live["tie"]))
@@ -248,6 +270,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     stash = Stash(docs.sparkSession)
     tied = with_tie(docs.select(key, text), key, text)
     spans = stash.put(repeated_ranges(tied, stash, key, text, length, k))
+    stash.drop_others(spans)
     kind = docs.schema[key].dataType.simpleString()
     joined = tied.join(spans, tied[key].eqNullSafe(spans["doc"]) & (tied["__tie"] == spans["tie"]), "left").select(tied[key], tied[text], "spans")
     return joined.mapInArrow(_cut(with_text), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
