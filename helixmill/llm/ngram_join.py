@@ -49,6 +49,9 @@ T = 32
 MAX_HEAVY = 1_000_000
 CHUNK = 200_000
 BUCKET_BITS = 12
+BITS = 1024
+#: Members of a star that one task verifies against its centre.
+STAR = 256
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,6 +85,11 @@ def set_name(s: np.ndarray) -> int:
     return int(mix(np.add.reduce(mix(s ^ _ODD[1]), keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of members fall on i.  Sets differ in at least as many members as these bits do."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _count_rows(n: int):
     """Per task: shingles by bucket, each once with its count, as packed numbers."""
 
@@ -170,10 +178,10 @@ def _prefix_rows(shared, n: int, percent: int):
         heavy, weight = shared.value
         roll, seen = Rolling(), set()
         for batch in batches:
-            doc, size, cid, gid = [], [], [], []
+            doc, size, cid, gid, bits = [], [], [], [], []
             tok, tg, ts, tp = [], [], [], []
 
-            def rows(batch=batch, doc=doc, size=size, cid=cid, gid=gid, tok=tok, tg=tg, ts=ts, tp=tp) -> pa.RecordBatch:
+            def rows(batch=batch, doc=doc, size=size, cid=cid, gid=gid, bits=bits, tok=tok, tg=tg, ts=ts, tp=tp) -> pa.RecordBatch:
                 d, k = len(doc), sum(map(len, tok))
                 none = lambda m, t: pa.nulls(m, t)
                 join = lambda x, y: pa.concat_arrays([x, y])
@@ -186,8 +194,9 @@ def _prefix_rows(shared, n: int, percent: int):
                     join(none(d, pa.int32()), pa.array(np.concatenate(tp).astype(np.int32) if tp else np.zeros(0, np.int32))),
                     join(batch.column(0).take(pa.array(doc, pa.int64())), none(k, batch.column(0).type)),
                     join(pa.array(cid, pa.int64()), none(k, pa.int64())),
-                ], names=["token", "gid", "size", "pos", "doc", "cid"])
-                for x in (doc, size, cid, gid, tok, tg, ts, tp):
+                    join(pa.array(bits, pa.binary()), none(k, pa.binary())),
+                ], names=["token", "gid", "size", "pos", "doc", "cid", "bits"])
+                for x in (doc, size, cid, gid, bits, tok, tg, ts, tp):
                     x.clear()
                 return out
 
@@ -199,9 +208,11 @@ def _prefix_rows(shared, n: int, percent: int):
                 if not len(s):
                     cid.append(None)
                     gid.append(None)
+                    bits.append(None)
                     continue
                 p = ordered(s, heavy, weight)[: len(s) - -(-len(s) * percent // 100) + 1]
                 cid.append(set_name(s))
+                bits.append(parity(s))
                 gid.append((set_name(p) ^ (len(s) << 1)) & (2**63 - 1))
                 if gid[-1] not in seen:
                     seen.add(gid[-1])
@@ -254,36 +265,67 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from rest.to_batches()
 
 
+def _possible(percent: int):
+    """Pairs that the bitmaps of two sets do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sx, sy = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), np.uint64).reshape(n, BITS // 64) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            common = (sx + sy - apart) // 2
+            keep = 100 * common >= percent * (sx + sy - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _set_rows(n: int):
+    """The set of a text once for each star that it takes part in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling()
+        names = ["a", "salt", "other", "cid", "shingles"]
+        types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
         for batch in batches:
-            cid, sets, held = [], [], 0
-            for text, want in zip(batch.column(0), batch.column(1), strict=True):
+            out: list[list] = [[] for _ in names]
+            held = 0
+            for text, want, stars in zip(*(batch.column(i) for i in range(3)), strict=True):
                 s = shingle_set(text, roll, n)
-                if len(s) and set_name(s) == want.as_py():
-                    cid.append(want.as_py())
-                    sets.append(s.tobytes())
-                    held += len(s)
+                if len(s) and set_name(s) == want.as_py():  # another row with the same key can hold another text
+                    raw = s.tobytes()
+                    for star in stars.as_py():
+                        for column, value in zip(out, (star["a"], star["salt"], star["other"], want.as_py(), raw), strict=True):
+                            column.append(value)
+                        held += len(s)
                 if held >= CHUNK:
                     held = 0
-                    yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
-                    cid, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+                    out = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     return run
 
 
 def _verify(percent: int):
+    """Stars arrive centre first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                z = np.sort(np.concatenate([x, y]), kind="stable")
+            a, b = [], []
+            for c, salt, other, cid, shingles in zip(*(x.to_pylist() if i < 4 else x for i, x in enumerate(batch.columns)), strict=True):
+                if not other:
+                    at, centre = (c, salt), np.frombuffer(shingles.as_py(), np.uint64)
+                    continue
+                assert at == (c, salt), "a star without its centre"
+                z = np.sort(np.concatenate([centre, np.frombuffer(shingles.as_buffer(), np.uint64)]), kind="stable")
                 common = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * common >= percent * (len(z) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * common >= percent * (len(z) - common):
+                    a.append(c)
+                    b.append(cid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -301,13 +343,14 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     shared = spark.sparkContext.broadcast(heavy_shingles(src.select("text"), stash, n))
-    schema = f"token long, gid long, size int, pos int, doc {kind}, cid long"
+    schema = f"token long, gid long, size int, pos int, doc {kind}, cid long, bits binary"
     rows = src.mapInArrow(_prefix_rows(shared, n, percent), schema)
     spread = F.coalesce(F.xxhash64("token"), F.xxhash64("doc", "cid"))
     mixed = stash.put(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions(F.col("token").asc_nulls_first()).mapInArrow(_shared_only, schema))
-    members = mixed.where("token is null").select("doc", "size", "cid", "gid")
-    classes = stash.put(members.where("cid is not null").groupBy("cid").agg(F.min("gid").alias("gid"), F.min("size").alias("size"), F.min("doc").alias("doc")))
-    lists = mixed.where("token is not null").select("token", "gid", "size", "pos").distinct()
+    members = stash.put(mixed.where("token is null").select("doc", "size", "cid", "gid"))
+    classes = stash.put(mixed.where("token is null and cid is not null").groupBy("cid").agg(F.min("gid").alias("gid"), F.min("size").alias("size"), F.min("doc").alias("doc"), F.min("bits").alias("bits")))
+    lists = stash.put(mixed.where("token is not null").select("token", "gid", "size", "pos").distinct())
+    stash.drop(mixed)
 
     # stars: the least group of each list with the others, and the least class of each group with the others
     least = lists.groupBy("token").agg(F.min_by(F.struct("gid", "size", "pos"), "gid").alias("c"))
@@ -315,7 +358,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     first = classes.groupBy("gid").agg(F.min("cid").alias("first"))
     across = star.join(first, star["ga"] == first["gid"]).select(F.col("first").alias("a"), "gb").join(classes, F.col("gb") == classes["gid"]).select("a", F.col("cid").alias("b"))
     inside = classes.join(first, "gid").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
-    pairs = stash.put(across.unionByName(inside).distinct())
+    pairs = stash.put(_sifted(across.unionByName(inside).distinct(), classes, percent))
     links = stash.put(_checked(pairs, classes, src, stash, n, percent))
     roots = components(links, stash) if links.limit(1).count() else None
 
@@ -340,7 +383,8 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rest = cross.join(pa_, ["ga", "ra"]).join(pb_, ["gb", "rb"]).select("a", "b")
     within = placed.alias("p").join(placed.alias("q"), (F.col("p.gid") == F.col("q.gid")) & (F.col("p.cid") < F.col("q.cid")) & (F.col("p.root") != F.col("q.root"))).select(F.col("p.cid").alias("a"), F.col("q.cid").alias("b"))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stash.put(rest.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = rest.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = stash.put(_sifted(rest, classes, percent))
     if rest.limit(1).count():
         more = stash.put(_checked(rest, classes, src, stash, n, percent))
         if more.limit(1).count():
@@ -351,12 +395,26 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     return _named(members, roots.select(F.col("node").alias("cid"), "root"), classes, key)
 
 
+def _sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    x, y = (classes.select(F.col("cid").alias(c), F.col("size").alias(f"s{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "bitsa", "bitsb").mapInArrow(_possible(percent), "a long, b long")
+
+
 def _checked(pairs: DataFrame, classes: DataFrame, src: DataFrame, stash: Stash, n: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets link.  Only texts that some pair names are read into sets."""
-    named = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "doc"), "cid")
-    sets = stash.put(src.join(named, src["doc"].eqNullSafe(named["doc"])).select("text", "cid").mapInArrow(_set_rows(n), "cid long, shingles binary"))
-    left, right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    """Pairs whose whole sets link.
+
+    The end of a pair that takes part in more pairs is the centre of a star;
+    stars of many members are cut into pieces, each with its centre.  Sets are
+    shuffled once, to their stars, and only those that some pair names.
+    """
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).groupBy("cid").count()
+    na, nb = ends.select(F.col("cid").alias("a"), F.col("count").alias("na")), ends.select(F.col("cid").alias("b"), F.col("count").alias("nb"))
+    turned = pairs.join(na, "a").join(nb, "b").select(F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("na", "nb").alias("n"))
+    turned = stash.put(turned.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).cast("int").alias("salt")))
+    part = turned.select(F.col("b").alias("cid"), F.struct("a", "salt", F.lit(True).alias("other")).alias("star")).unionByName(turned.select(F.col("a").alias("cid"), F.struct("a", "salt", F.lit(False).alias("other")).alias("star")).distinct())
+    named = part.groupBy("cid").agg(F.collect_list("star").alias("stars")).join(classes.select("cid", "doc"), "cid")
+    sets = src.join(named, src["doc"].eqNullSafe(named["doc"])).select("text", "cid", "stars").mapInArrow(_set_rows(n), "a long, salt int, other boolean, cid long, shingles binary")
+    return sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_verify(percent), "a long, b long")
 
 
 def _named(members: DataFrame, roots: DataFrame, classes: DataFrame, key: str) -> DataFrame:
