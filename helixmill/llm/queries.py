@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixmill.llm import decontaminate, ngram_join, quality, suffix_dedup
+from helixmill.llm import decontaminate, line_dedup, ngram_join, quality, suffix_dedup
 from helixmill.llm.common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(read(spark, sf_dir, "documents"), with_text=False)
 
