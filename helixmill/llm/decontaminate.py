@@ -105,8 +105,10 @@ def scan(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     sets = hit.where("n_hit > 0").select("wids").distinct().select("wids", F.explode("wids").alias("wid"))
     owners = all_windows.select("wid", F.col("item").cast("string").alias("item")).distinct()
     items_of = sets.join(owners, "wid").groupBy("wids").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    done = hit.join(items_of, "wids", "left")
-    return done.select(*out, "n_words", "n_hit", F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    # documents without a hit don't take part in the join
+    named = hit.where("n_hit > 0").join(items_of, "wids").select("__doc", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
+    done = named.unionByName(hit.where("n_hit = 0").select("__doc", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items")))
+    return done.select(*out, "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
