@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import decontaminate, langid, line_dedup, ngram_join, quality, suffix_dedup
+from helixmill.llm import decontaminate, langid, line_dedup, ngram_join, quality, secrets, suffix_dedup
 from helixmill.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_classes(read(spark, sf_dir, "documents"))
 
