@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +48,8 @@ class Stash:
         self.n = 0
         self.paths: dict[int, str] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """``release``: the shuffle files of a large job should go before the next begins."""
         path = f"{self.base}/{self.n}"
         self.n += 1
         held = self.spark.conf.get(BATCH)
@@ -57,7 +60,8 @@ class Stash:
             self.spark.conf.set(BATCH, held)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._release()
+        if release:
+            self._release()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -79,11 +83,15 @@ class Stash:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _release(self) -> None:
-        """Let the driver's cleaner remove shuffle files that the written table has made useless."""
-        import gc
+        """Let the driver's cleaner remove the shuffle files that the written table has made useless.
 
+        The cleaner follows the driver's garbage collection, which else runs
+        too seldom; listeners hold the finished plan until their queue is empty.
+        """
         gc.collect()
+        time.sleep(0.3)
         self.spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def few_rows(df: DataFrame, most: int) -> bool:

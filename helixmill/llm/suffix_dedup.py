@@ -206,7 +206,8 @@ def repeated_ranges(docs: DataFrame, stash: Stash, key: str = "doc_id", text: st
         rows.repartition("seed")
         .select("*", F.rank().over(same).alias("nth"), (F.min("reach").over(seed) != F.max("reach").over(seed)).alias("open"))
         .where("sure or nth > 1 or open")
-        .select("doc", "tie", "pos", "to", (F.col("sure") | (F.col("nth") > 1)).alias("again"))
+        .select("doc", "tie", "pos", "to", (F.col("sure") | (F.col("nth") > 1)).alias("again")),
+        release=True,
     )
     marks = [first.where("again").select("doc", "tie", F.greatest(F.lit(0), F.col("pos") - width).alias("s"), (F.col("to") + length).alias("e"))]
     live = first.where("not again").groupBy("doc", "tie").agg(F.collect_set("pos").alias("where"))
@@ -225,7 +226,8 @@ def repeated_ranges(docs: DataFrame, stash: Stash, key: str = "doc_id", text: st
             .repartition("c1")
             .select("*", F.rank().over(same).alias("nth"), ((F.min("o1").over(common) != F.max("o1").over(common)) | (F.min("o2").over(common) != F.max("o2").over(common))).alias("open"))
             .where("nth > 1 or open")
-            .select("doc", "tie", "pos", "start", F.when(F.col("nth") == 1, F.col("ctx")).alias("ctx"), "lo", "hi", "s0", "e0")
+            .select("doc", "tie", "pos", "start", F.when(F.col("nth") == 1, F.col("ctx")).alias("ctx"), "lo", "hi", "s0", "e0"),
+            release=True,
         )
         marks.append(step.where("ctx is null").select("doc", "tie", F.col("s0").alias("s"), F.col("e0").alias("e")))
         current = step.where("ctx is not null").select("doc", "tie", "pos", "start", "ctx", "lo", "hi")
@@ -269,7 +271,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """One row per document: its key, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, the bytes kept."""
     stash = Stash(docs.sparkSession)
     tied = with_tie(docs.select(key, text), key, text)
-    spans = stash.put(repeated_ranges(tied, stash, key, text, length, k))
+    spans = stash.put(repeated_ranges(tied, stash, key, text, length, k), release=True)
     stash.drop_others(spans)
     kind = docs.schema[key].dataType.simpleString()
     joined = tied.join(spans, tied[key].eqNullSafe(spans["doc"]) & (tied["__tie"] == spans["tie"]), "left").select(tied[key], tied[text], "spans")
