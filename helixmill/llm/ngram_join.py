@@ -15,8 +15,9 @@ Plan
    with equal sets form a class, classes with equal prefix and size a group; a
    group sends its prefix once per task.  Shingles of one group only fall out.
 3. *Stars.*  In each list of groups that share a prefix shingle all are paired
-   with the least, under length and positional bounds, expanded to classes and
-   verified on the whole sets.  Links contract to components.
+   with the one that has the fewest rarer shingles, under bounds of length,
+   position and of shingles that no other prefix holds, expanded to classes,
+   sifted by parity bitmaps and verified on the whole sets.  Links contract to components.
 4. *Rest.*  Lists that still span several components give the pairs across
    components, again under both bounds, expanded and verified.  Pairs inside a
    component are never made: they can't change the classes.
@@ -150,7 +151,7 @@ def _heavy_rows(least: int):
 def heavy_shingles(texts: DataFrame, stash: Stash, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted heavy shingles (their first 44 bits) and the log2 of their counts; at most ``MAX_HEAVY``."""
     rows = texts.mapInArrow(_count_rows(n), "bucket int, values binary, counts binary")
-    found = stash.put(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_heavy_rows(T), "shingle long, df long"))
+    found = stash.put(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_heavy_rows(T), "shingle long, df long"), release=True)
     by_size = {r[0]: r[1] for r in found.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).count().collect()}  # at most 63 rows
     t, total = 0, sum(by_size.values())
     while total > MAX_HEAVY:
@@ -163,25 +164,27 @@ def heavy_shingles(texts: DataFrame, stash: Stash, n: int) -> tuple[np.ndarray,
     return h[o], np.log2(df[o]).astype(np.uint8)
 
 
-def ordered(s: np.ndarray, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A set in the order that prefixes use: by count of the heavy ones, light first, then by hash."""
+def ordered(s: np.ndarray, heavy: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the order that prefixes use: light first, heavy ones by count, then by hash; and how many are light."""
     if not len(heavy) or not len(s):
-        return s
+        return s, len(s)
     short = s >> np.uint64(64 - 32 - BUCKET_BITS)
     i = np.minimum(np.searchsorted(heavy, short), len(heavy) - 1)
     w = np.where(heavy[i] == short, weight[i], 0)
-    return s[np.lexsort((s, w))] if w.any() else s
+    return (s[np.lexsort((s, w))], int((w == 0).sum())) if w.any() else (s, len(s))
 
 
 def _prefix_rows(shared, n: int, percent: int):
+    """Rows of documents (``pos``: light shingles in the prefix) and of prefix shingles (``pos``: place, or -1 - place of a heavy one)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, weight = shared.value
         roll, seen = Rolling(), set()
         for batch in batches:
-            doc, size, cid, gid, bits = [], [], [], [], []
+            doc, size, cid, gid, bits, light = [], [], [], [], [], []
             tok, tg, ts, tp = [], [], [], []
 
-            def rows(batch=batch, doc=doc, size=size, cid=cid, gid=gid, bits=bits, tok=tok, tg=tg, ts=ts, tp=tp) -> pa.RecordBatch:
+            def rows(batch=batch, doc=doc, size=size, cid=cid, gid=gid, bits=bits, light=light, tok=tok, tg=tg, ts=ts, tp=tp) -> pa.RecordBatch:
                 d, k = len(doc), sum(map(len, tok))
                 none = lambda m, t: pa.nulls(m, t)
                 join = lambda x, y: pa.concat_arrays([x, y])
@@ -191,12 +194,12 @@ def _prefix_rows(shared, n: int, percent: int):
                     join(none(d, pa.int64()), pa.array(token.view(np.int64))),
                     join(pa.array(gid, pa.int64()), pa.array(np.repeat(np.array(tg, np.int64), lens))),
                     join(pa.array(size, pa.int32()), pa.array(np.repeat(np.array(ts, np.int32), lens))),
-                    join(none(d, pa.int32()), pa.array(np.concatenate(tp).astype(np.int32) if tp else np.zeros(0, np.int32))),
+                    join(pa.array(light, pa.int32()), pa.array(np.concatenate(tp).astype(np.int32) if tp else np.zeros(0, np.int32))),
                     join(batch.column(0).take(pa.array(doc, pa.int64())), none(k, batch.column(0).type)),
                     join(pa.array(cid, pa.int64()), none(k, pa.int64())),
                     join(pa.array(bits, pa.binary()), none(k, pa.binary())),
                 ], names=["token", "gid", "size", "pos", "doc", "cid", "bits"])
-                for x in (doc, size, cid, gid, bits, tok, tg, ts, tp):
+                for x in (doc, size, cid, gid, bits, light, tok, tg, ts, tp):
                     x.clear()
                 return out
 
@@ -209,8 +212,12 @@ def _prefix_rows(shared, n: int, percent: int):
                     cid.append(None)
                     gid.append(None)
                     bits.append(None)
+                    light.append(0)
                     continue
-                p = ordered(s, heavy, weight)[: len(s) - -(-len(s) * percent // 100) + 1]
+                p, n_light = ordered(s, heavy, weight)
+                p = p[: len(s) - -(-len(s) * percent // 100) + 1]
+                n_light = min(n_light, len(p))
+                light.append(n_light)
                 cid.append(set_name(s))
                 bits.append(parity(s))
                 gid.append((set_name(p) ^ (len(s) << 1)) & (2**63 - 1))
@@ -219,7 +226,9 @@ def _prefix_rows(shared, n: int, percent: int):
                     tok.append(p)
                     tg.append(gid[-1])
                     ts.append(len(s))
-                    tp.append(np.arange(len(p)))
+                    place = np.arange(len(p))
+                    place[n_light:] = -1 - place[n_light:]
+                    tp.append(place)
                     held += len(p)
                 if held >= CHUNK:
                     held = 0
@@ -330,10 +339,14 @@ def _verify(percent: int):
     return run
 
 
-def _bounds(sx: Column, px: Column, sy: Column, py: Column, percent: int) -> Column:
-    """Length and positional bounds of a pair that shares the tokens at ``px`` and ``py``."""
-    need = F.ceil(percent * (sx + sy) / (100.0 + percent) - 1e-9)
-    return (100 * F.least(sx, sy) >= percent * F.greatest(sx, sy)) & (F.least(sx - px, sy - py) + F.least(px, py) >= need)
+def _bounds(x, y, percent: int) -> Column:
+    """Length and positional bounds, and that of shingles which can be common at all, of a pair that shares a token."""
+    need = F.ceil(percent * (x("size") + y("size")) / (100.0 + percent) - 1e-9)
+    return (
+        (100 * F.least(x("size"), y("size")) >= percent * F.greatest(x("size"), y("size")))
+        & (F.least(x("size") - x("pos"), y("size") - y("pos")) + F.least(x("pos"), y("pos")) >= need)
+        & (F.least(x("most"), y("most")) >= need)
+    )
 
 
 def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -346,20 +359,27 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     schema = f"token long, gid long, size int, pos int, doc {kind}, cid long, bits binary"
     rows = src.mapInArrow(_prefix_rows(shared, n, percent), schema)
     spread = F.coalesce(F.xxhash64("token"), F.xxhash64("doc", "cid"))
-    mixed = stash.put(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions(F.col("token").asc_nulls_first()).mapInArrow(_shared_only, schema))
+    mixed = stash.put(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions(F.col("token").asc_nulls_first()).mapInArrow(_shared_only, schema), release=True)
     members = stash.put(mixed.where("token is null").select("doc", "size", "cid", "gid"))
-    classes = stash.put(mixed.where("token is null and cid is not null").groupBy("cid").agg(F.min("gid").alias("gid"), F.min("size").alias("size"), F.min("doc").alias("doc"), F.min("bits").alias("bits")))
-    lists = stash.put(mixed.where("token is not null").select("token", "gid", "size", "pos").distinct())
+    classes = stash.put(mixed.where("token is null and cid is not null").groupBy("cid").agg(F.min("gid").alias("gid"), F.min("size").alias("size"), F.min("doc").alias("doc"), F.min("pos").alias("light"), F.min("bits").alias("bits")))
+    # where two prefixes share a heavy shingle they hold all light ones of their sets: of these only the shared can be common
+    tokens = mixed.where("token is not null").select("token", "gid", "size", "pos").distinct()
+    known = tokens.where("pos >= 0").groupBy("gid").count()
+    lacking = classes.groupBy("gid").agg(F.min("light").alias("light")).join(known, "gid", "left").select("gid", (F.col("light") - F.coalesce("count", F.lit(0))).alias("lacking"))
+    heavy = F.col("pos") < 0
+    lists = tokens.join(lacking, "gid").select("token", "gid", "size", F.when(heavy, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), F.when(heavy, F.col("size") - F.col("lacking")).otherwise(F.col("size")).alias("most"))
+    lists = stash.put(lists.where(100 * F.col("most") >= percent * F.col("size")), release=True)
     stash.drop(mixed)
 
     # stars: the least group of each list with the others, and the least class of each group with the others
-    least = lists.groupBy("token").agg(F.min_by(F.struct("gid", "size", "pos"), "gid").alias("c"))
-    star = lists.join(least, "token").where((F.col("gid") != F.col("c.gid")) & _bounds(F.col("size"), F.col("pos"), F.col("c.size"), F.col("c.pos"), percent)).select(F.col("c.gid").alias("ga"), F.col("gid").alias("gb")).distinct()
+    # the centre is the group with the fewest rarer shingles, which an original is among its edited copies
+    least = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "size", "most")).alias("c"))
+    star = lists.join(least, "token").where((F.col("gid") != F.col("c.gid")) & _bounds(lambda k: F.col(k), lambda k: F.col(f"c.{k}"), percent)).select(F.col("c.gid").alias("ga"), F.col("gid").alias("gb")).distinct()
     first = classes.groupBy("gid").agg(F.min("cid").alias("first"))
     across = star.join(first, star["ga"] == first["gid"]).select(F.col("first").alias("a"), "gb").join(classes, F.col("gb") == classes["gid"]).select("a", F.col("cid").alias("b"))
     inside = classes.join(first, "gid").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
     pairs = stash.put(_sifted(across.unionByName(inside).distinct(), classes, percent))
-    links = stash.put(_checked(pairs, classes, src, stash, n, percent))
+    links = stash.put(_checked(pairs, classes, src, stash, n, percent), release=True)
     roots = components(links, stash) if links.limit(1).count() else None
 
     # the rest: pairs across components in lists that span several
@@ -375,7 +395,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     open_ = stash.put(spans.join(top, "token"))
     x, y = open_.where("root <> top").alias("x"), open_.alias("y")
     cross = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.root") < F.col("y.root"))) & _bounds(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), percent))
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.root") < F.col("y.root"))) & _bounds(lambda k: F.col(f"x.{k}"), lambda k: F.col(f"y.{k}"), percent))
         .select(F.col("x.gid").alias("ga"), F.col("x.root").alias("ra"), F.col("y.gid").alias("gb"), F.col("y.root").alias("rb"))
         .distinct()
     )
@@ -386,7 +406,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rest = rest.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = stash.put(_sifted(rest, classes, percent))
     if rest.limit(1).count():
-        more = stash.put(_checked(rest, classes, src, stash, n, percent))
+        more = stash.put(_checked(rest, classes, src, stash, n, percent), release=True)
         if more.limit(1).count():
             roots = components(links.unionByName(more), stash)
 
