@@ -74,7 +74,7 @@ def occurrences(docs: DataFrame, items: DataFrame, stash: Stash, key: str, text:
     for s in sizes:
         one = words.select("doc", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), s)).alias("pos", "h")).join(wanted, "h")
         hits = one if hits is None else hits.unionByName(one)
-    hits = stash.put(hits)
+    hits = stash.put(hits, release=True)
     freq = hits.groupBy("h").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("wid").orderBy("df", "h", "offset")
     ranked = parts.join(freq, "h", "left").select("wid", "len", "offset", "h", F.coalesce("df", F.lit(0)).alias("df")).withColumn("nth", F.row_number().over(rarest))
@@ -101,7 +101,7 @@ def scan(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     covered = F.size(F.array_distinct(F.flatten(F.transform("true", lambda x: F.sequence(x["start"], x["start"] + F.size(x["words"]) - 1)))))
     hit = hit.select("__doc", "n_words", F.when(F.size(F.coalesce("true", F.array())) > 0, covered).otherwise(0).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("true", lambda x: x["wid"]))).alias("wids"))
     # items of the sets of windows that occur: each distinct set is looked up once
-    hit = stash.put(hit)
+    hit = stash.put(hit, release=True)
     sets = hit.where("n_hit > 0").select("wids").distinct().select("wids", F.explode("wids").alias("wid"))
     owners = all_windows.select("wid", F.col("item").cast("string").alias("item")).distinct()
     items_of = sets.join(owners, "wid").groupBy("wids").agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -42,7 +42,7 @@ def repeated_suffixes(ranks: DataFrame, stash: Stash, depth: int) -> DataFrame:
     rank, h = ["r1", "r2"], 1
     while True:
         shared = ranks.groupBy(*rank).count().where("count > 1").select(*rank)
-        live = stash.put(ranks.join(shared, rank).select("doc", "tie", "pos", *rank))
+        live = stash.put(ranks.join(shared, rank).select("doc", "tie", "pos", *rank), release=True)
         if h >= depth:
             first = live.groupBy(*rank).agg(F.min(F.struct("doc", "tie", "pos")).alias("first"))
             return live.join(first, rank).where(F.struct("doc", "tie", "pos") != F.col("first")).select("doc", "tie", "pos")
@@ -65,7 +65,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: i
     """One row per document: key, ``n_lines, n_deleted, n_runs`` and the ``kept`` text."""
     stash = Stash(docs.sparkSession)
     tied = with_tie(docs.select(key, text), key, text)
-    gone = stash.put(deleted_lines(tied, stash, key, text, min_lines))
+    gone = stash.put(deleted_lines(tied, stash, key, text, min_lines), release=True)
     stash.drop_others(gone)
     j = tied.join(gone, tied[key].eqNullSafe(gone["doc"]) & (tied["__tie"] == gone["tie"]), "left").select(tied[key], F.split(F.coalesce(tied[text], F.lit("")), "\n", -1).alias("ls"), "gone")
     runs = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
