@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import decontaminate, langid, line_dedup, ngram_join, quality, secrets, suffix_dedup
+from helixmill.llm import decontaminate, langid, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup
 from helixmill.llm.common import read
 
 
@@ -36,6 +36,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_classes(read(spark, sf_dir, "documents"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("pieces")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
@@ -45,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.ORACLE}
+    return {"op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE}
