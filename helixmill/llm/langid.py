@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that training may use, in whole and per language.
-SAMPLE = 3200
-SAMPLE_PER_LANGUAGE = 800
+SAMPLE = 1600
+SAMPLE_PER_LANGUAGE = 400
 #: Log of the number of n-gram features.
-BITS = 13
+BITS = 12
 EPOCHS = 12
 #: Families by ISO 639-1 code.
 FAMILIES = {
