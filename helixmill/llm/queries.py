@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import decontaminate, langid, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup
+from helixmill.llm import decontaminate, langid, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_shards
 from helixmill.llm.common import read
 
 
@@ -44,6 +44,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.records(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
