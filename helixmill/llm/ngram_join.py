@@ -443,3 +443,22 @@ def _named(members: DataFrame, roots: DataFrame, classes: DataFrame, key: str) -
     name = of.groupBy("root").agg(F.min("doc").alias("component"))
     to = of.join(name, "root").select("cid", "component")
     return members.join(to, "cid", "left").select(F.col("doc").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One document of each class, that with the least key, with all its columns.
+
+    Documents without words are linked with nothing and stay, as do classes
+    without a key.  Of rows that repeat both key and text one stays; rows that
+    share a key but not the text stay each unless their class has a lesser key.
+    """
+    named = linked_classes(docs, key, text, n, percent)
+    stash = Stash(docs.sparkSession)
+    going = stash.put(named.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct())
+    again = docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("__again"))
+    kept = docs.join(going, docs[key].eqNullSafe(going["__gone"]), "left_anti")
+    if not again.limit(1).count():
+        return kept
+    again = stash.put(again)
+    once = kept.join(again, kept[key].eqNullSafe(again["__again"]), "left_anti")
+    return once.unionByName(kept.join(again, kept[key].eqNullSafe(again["__again"]), "left_semi").dropDuplicates([key, text]))
