@@ -51,6 +51,7 @@ MAX_HEAVY = 1_000_000
 CHUNK = 200_000
 BUCKET_BITS = 12
 BITS = 1024
+MAX_BITS = 1 << 18
 #: Members of a star that one task verifies against its centre.
 STAR = 256
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -87,8 +88,20 @@ def set_name(s: np.ndarray) -> int:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of members fall on i.  Sets differ in at least as many members as these bits do."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """Bit i: whether an odd number of members end in i.  Sets differ in at least as many members as these bits do.
+
+    A set has two bits or more for each member, up to ``MAX_BITS``.
+    """
+    bits = min(MAX_BITS, max(BITS, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ; the longer is folded to the length of the shorter."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(x), len(y))
+    x, y = np.bitwise_xor.reduce(x.reshape(-1, n)), np.bitwise_xor.reduce(y.reshape(-1, n))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _count_rows(n: int):
@@ -279,11 +292,9 @@ def _possible(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
             sx, sy = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), np.uint64).reshape(n, BITS // 64) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-            common = (sx + sy - apart) // 2
+            least = np.fromiter((apart(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5), strict=True)), np.int64, batch.num_rows)
+            common = (sx + sy - least) // 2
             keep = 100 * common >= percent * (sx + sy - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 

@@ -82,3 +82,17 @@ def test_components(spark):
             parent[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), Stash(spark)).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_parity_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, m in ((3, 5), (400, 700), (3000, 100), (9000, 8000)):
+        pool = rng.integers(0, 2**63, 12000).astype(np.uint64)
+        x, y = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
+        far = len(np.setxor1d(x, y))
+        assert ngram_join.apart(ngram_join.parity(x), ngram_join.parity(y)) <= far
+        assert ngram_join.apart(ngram_join.parity(x), ngram_join.parity(x)) == 0
+    x, y = (np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)) for _ in "xy")
+    assert ngram_join.apart(ngram_join.parity(x), ngram_join.parity(y)) > 3500
