@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm import decontaminate, langid, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_shards
+from helixmill.llm import decontaminate, langid, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, surrogates, token_shards
 from helixmill.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
