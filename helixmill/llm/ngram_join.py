@@ -15,7 +15,7 @@ Plan
    with equal sets form a class, classes with equal prefix and size a group; a
    group sends its prefix once per task.  Shingles of one group only fall out.
 3. *Stars.*  In each list of groups that share a prefix shingle all are paired
-   with the one that has the fewest rarer shingles, under bounds of length,
+   with the one that has the fewest shingles of its own, under bounds of length,
    position and of shingles that no other prefix holds, expanded to classes,
    sifted by parity bitmaps and verified on the whole sets.  Links contract to components.
 4. *Rest.*  Lists that still span several components give the pairs across
@@ -383,8 +383,9 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     stash.drop(mixed)
 
     # stars: the least group of each list with the others, and the least class of each group with the others
-    # the centre is the group with the fewest rarer shingles, which an original is among its edited copies
-    least = lists.groupBy("token").agg(F.min(F.struct("pos", "gid", "size", "most")).alias("c"))
+    # the centre is the group with the fewest shingles of its own, which an original is among its edited copies;
+    # that is the same group for all shingles of a copied text, so that its star is made once
+    least = lists.withColumn("own", F.col("size") - F.col("most")).groupBy("token").agg(F.min(F.struct("own", "gid", "pos", "size", "most")).alias("c"))
     star = lists.join(least, "token").where((F.col("gid") != F.col("c.gid")) & _bounds(lambda k: F.col(k), lambda k: F.col(f"c.{k}"), percent)).select(F.col("c.gid").alias("ga"), F.col("gid").alias("gb")).distinct()
     first = classes.groupBy("gid").agg(F.min("cid").alias("first"))
     across = star.join(first, star["ga"] == first["gid"]).select(F.col("first").alias("a"), "gb").join(classes, F.col("gb") == classes["gid"]).select("a", F.col("cid").alias("b"))
