@@ -16,6 +16,12 @@ def sequences(df: DataFrame, key: str, text: str, role: Column) -> DataFrame:
     return df.select(F.col(key).alias("genome"), role.alias("role"), seq.clean(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out where they come from fewer files than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def chunks(seqs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     """Pieces that own ``size`` starts each and reach ``overlap`` bases further; ``start`` is 0-based."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
@@ -35,8 +41,11 @@ def windows(seqs: DataFrame, ks: list[int]) -> DataFrame:
 
 def count(seqs: DataFrame, ks: list[int], keys: tuple[str, ...] = ("role",), both_strands: bool = True) -> DataFrame:
     """Counts per keys, k and k-mer; with both strands a k-mer and its reverse complement are one."""
-    kmer = seq.canonical(F.col("kmer")) if both_strands else F.col("kmer")
-    return windows(seqs, ks).select(*keys, "k", kmer.alias("kmer")).groupBy(*keys, "k", "kmer").agg(F.count("*").alias("n"))
+    plain = windows(seqs, ks).groupBy(*keys, "k", "kmer").agg(F.count("*").alias("n"))
+    if not both_strands:
+        return plain
+    # strands are merged after the first sum: complements are built for kinds, not for occurrences
+    return plain.select(*keys, "k", seq.canonical(F.col("kmer")).alias("kmer"), "n").groupBy(*keys, "k", "kmer").agg(F.sum("n").alias("n"))
 
 
 def lengths(seqs: DataFrame, *keys: str) -> DataFrame:

@@ -9,15 +9,15 @@ from helixmill.functions import seq
 from helixmill.operators import kmers
 
 
-def find_sites(seqs: DataFrame, primers: DataFrame, ks: list[int], circular: bool = False, most_broadcast: int = 100_000) -> DataFrame:
+def find_sites(seqs: DataFrame, primers: DataFrame, ks: list[int], circular: bool = False, at_most: int | None = None, most_broadcast: int = 100_000) -> DataFrame:
     """All occurrences of primers on both strands: ``genome, primer, strand, pos``; overlaps count.
 
     Patterns meet the k-mers of the sequences in a hash join, broadcast only
-    behind a count.  A hit of the reverse complement is the primer's site on
+    behind a count (or ``at_most``, where the caller has limited them).  A hit of the reverse complement is the primer's site on
     strand ``-``; a palindrome is listed on both strands.
     """
     patterns = primers.select("primer", F.explode(F.array(F.struct(F.col("primer").alias("kmer"), F.lit("+").alias("strand")), F.struct(seq.reverse_complement(F.col("primer")).alias("kmer"), F.lit("-").alias("strand")))).alias("x")).select("primer", "x.kmer", "x.strand")
-    if patterns.limit(most_broadcast + 1).count() <= most_broadcast:
+    if (2 * at_most if at_most else patterns.limit(most_broadcast + 1).count()) <= most_broadcast:
         patterns = F.broadcast(patterns)
     if circular:  # the first k - 1 bases follow the last
         out = None

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.sequences(table(spark, sf_dir, "documents"), "doc_id", "text", (F.col("doc_id") % 4).cast("int"))
+    return kmers.sequences(kmers.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", (F.col("doc_id") % 4).cast("int"))
 
 
 def line_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,8 @@ def cand(k: int = 8) -> str:
 
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
-    return kmers.windows(sequences(spark, sf_dir).where(is_target()), [k]).select(seq.canonical(F.col("kmer")).alias("primer")).distinct()
+    kinds = kmers.windows(sequences(spark, sf_dir).where(is_target()), [k]).select("kmer").distinct()
+    return kinds.select(seq.canonical(F.col("kmer")).alias("primer")).distinct()
 
 
 def wide(k: int = 8) -> str:
@@ -172,9 +173,11 @@ WHEN len(translate(right(primer, 3), 'AT', '')) > 2 THEN 'three_prime' WHEN len(
 WHEN {shares_sql('primer', rc('primer'), 5)} THEN 'self_dimer' END"""
 
 
-def _reasons(df: DataFrame) -> DataFrame:
-    df = df.withColumn("tm", thermo.tm_salt(F.col("primer")))
-    return df.withColumn("reject_reason", kmers.rule_reasons(F.col("primer"), F.col("tm"), 15, 45, 0.375, 0.625, 4))
+def _reasons(df: DataFrame, after=None) -> DataFrame:
+    """``after``: a condition on sums, always true, that keeps the costly rules from sinking below a group-by to every occurrence."""
+    p = F.col("primer") if after is None else F.when(after, F.col("primer"))
+    df = df.withColumn("tm", thermo.tm_salt(p))
+    return df.withColumn("reject_reason", kmers.rule_reasons(p, F.col("tm"), 15, 45, 0.375, 0.625, 4))
 
 
 RULES = f"{cand(10)}, t AS (SELECT primer, {tm_salt_sql('primer')} AS tm FROM c), rules AS (SELECT primer, tm, {REASON} AS reject_reason FROM t)"
@@ -196,7 +199,7 @@ def candidate_ranking(spark, d):
     """The whole of step two: counts, rates, rules, and the 500 best by ratio."""
     s = sequences(spark, d)
     ok = kmers.rates(kmers.count(s, [8]), kmers.lengths(s, "role"), is_target(), is_background(), MIN_FG, MAX_BG).where("passes").withColumn("primer", F.col("kmer"))
-    kept = _reasons(ok).where("reject_reason is null")
+    kept = _reasons(ok, F.col("fg_count") > 0).where("reject_reason is null")
     return kmers.ranked(kept, 500).select("kmer", "fg_count", "bg_count", r(F.col("tm")).alias("tm"), r(F.col("ratio"), 9).alias("ratio"))
 
 
@@ -249,7 +252,8 @@ def bg_semi_join(spark, d):
 def sampled_count_estimate(spark, d):
     """Every hundredth position, times a hundred: the sampled index is the operator."""
     w = kmers.windows(sequences(spark, d).where(is_background()), [8]).where(F.col("pos") % 100 == 0)
-    return w.groupBy(seq.canonical(F.col("kmer")).alias("kmer")).agg((F.count("*") * 100).alias("estimate"))
+    kinds = w.groupBy("kmer").agg(F.count("*").alias("n"))
+    return kinds.groupBy(seq.canonical(F.col("kmer")).alias("kmer")).agg((F.sum("n") * 100).alias("estimate"))
 
 
 @query(f"WITH {wide(8)}, k AS (SELECT *, bg_count::DOUBLE / fg_count AS ratio FROM wide), n AS (SELECT *, row_number() OVER (ORDER BY fg_count::DOUBLE / (bg_count + 1) DESC, kmer) AS rn, count(*) OVER () AS n FROM k) SELECT kmer, fg_count, bg_count FROM n WHERE fg_count::DOUBLE / (bg_count + 1) >= 1 OR rn <= floor(0.8 * n)")

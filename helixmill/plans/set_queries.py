@@ -22,12 +22,12 @@ def gini_sql(of: str, keys: str, value: str, shift: str = "1e-7") -> str:
 # --- sites and gaps --------------------------------------------------------
 @query(f"{top_sql(40)}, p AS (SELECT primer, primer AS kmer, '+' AS strand FROM top UNION ALL SELECT primer, {rc('primer')}, '-' FROM top) SELECT genome, primer, strand, pos FROM w JOIN p USING (kmer)")
 def primer_sites(spark, d):
-    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, 40).select("primer"), [8])
+    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, 40).select("primer"), [8], at_most=40)
 
 
 @query(f"{top_sql(40)}, ring AS (SELECT genome, role, seq || seq[1:7] AS seq FROM seqs WHERE len(seq) >= 8), cw AS (SELECT genome, seq[p:p + 7] AS kmer, (p - 1)::BIGINT AS pos FROM (SELECT *, unnest(range(1, len(seq) - 6)) AS p FROM ring)), p AS (SELECT primer, primer AS kmer, '+' AS strand FROM top UNION ALL SELECT primer, {rc('primer')}, '-' FROM top) SELECT primer, strand, count(*) AS n FROM cw JOIN p USING (kmer) GROUP BY ALL")
 def primer_sites_circular(spark, d):
-    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, 40).select("primer"), [8], circular=True).groupBy("primer", "strand").agg(F.count("*").alias("n"))
+    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, 40).select("primer"), [8], circular=True, at_most=40).groupBy("primer", "strand").agg(F.count("*").alias("n"))
 
 
 @query(GAPS + " SELECT genome, primer, strand, gap, count(*) AS n FROM gaps GROUP BY ALL")
