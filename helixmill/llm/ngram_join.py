@@ -15,8 +15,8 @@ Plan
    with equal sets form a class, classes with equal prefix and size a group; a
    group sends its prefix once per task.  Shingles of one group only fall out.
 3. *Stars.*  In each list of groups that share a prefix shingle all are paired
-   with the one that has the fewest shingles of its own, under bounds of length,
-   position and of shingles that no other prefix holds, expanded to classes,
+   with the one that has the fewest light shingles, under bounds of length,
+   position and, where the shared one is heavy, of the number of heavy ones, expanded to classes,
    sifted by parity bitmaps and verified on the whole sets.  Links contract to components.
 4. *Rest.*  Lists that still span several components give the pairs across
    components, again under both bounds, expanded and verified.  Pairs inside a
@@ -373,17 +373,17 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     mixed = stash.put(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions(F.col("token").asc_nulls_first()).mapInArrow(_shared_only, schema), release=True)
     members = stash.put(mixed.where("token is null").select("doc", "size", "cid", "gid"))
     classes = stash.put(mixed.where("token is null and cid is not null").groupBy("cid").agg(F.min("gid").alias("gid"), F.min("size").alias("size"), F.min("doc").alias("doc"), F.min("pos").alias("light"), F.min("bits").alias("bits")))
-    # where two prefixes share a heavy shingle they hold all light ones of their sets: of these only the shared can be common
+    # where two prefixes share a heavy shingle they hold all light ones of their sets: if a light one is common too, the
+    # pair stands in its (short) list, else only heavy ones can be common
     tokens = mixed.where("token is not null").select("token", "gid", "size", "pos").distinct()
-    known = tokens.where("pos >= 0").groupBy("gid").count()
-    lacking = classes.groupBy("gid").agg(F.min("light").alias("light")).join(known, "gid", "left").select("gid", (F.col("light") - F.coalesce("count", F.lit(0))).alias("lacking"))
+    light = classes.groupBy("gid").agg(F.min("light").alias("light"))
     heavy = F.col("pos") < 0
-    lists = tokens.join(lacking, "gid").select("token", "gid", "size", F.when(heavy, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), F.when(heavy, F.col("size") - F.col("lacking")).otherwise(F.col("size")).alias("most"))
+    lists = tokens.join(light, "gid").select("token", "gid", "size", F.when(heavy, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), F.when(heavy, F.col("size") - F.col("light")).otherwise(F.col("size")).alias("most"))
     lists = stash.put(lists.where(100 * F.col("most") >= percent * F.col("size")), release=True)
     stash.drop(mixed)
 
     # stars: the least group of each list with the others, and the least class of each group with the others
-    # the centre is the group with the fewest shingles of its own, which an original is among its edited copies;
+    # the centre is the group with the fewest light shingles, which an original is among its edited copies;
     # that is the same group for all shingles of a copied text, so that its star is made once
     least = lists.withColumn("own", F.col("size") - F.col("most")).groupBy("token").agg(F.min(F.struct("own", "gid", "pos", "size", "most")).alias("c"))
     star = lists.join(least, "token").where((F.col("gid") != F.col("c.gid")) & _bounds(lambda k: F.col(k), lambda k: F.col(f"c.{k}"), percent)).select(F.col("c.gid").alias("ga"), F.col("gid").alias("gb")).distinct()
