@@ -153,3 +153,89 @@ def genetic(scored: DataFrame, pairs: DataFrame, size: int, population: int = 40
 def best_of(results: DataFrame) -> DataFrame:
     """The best row of several methods' results: ``method, score, members``."""
     return results.agg(F.max_by(F.struct("method", "score", "members"), F.struct("score", "method")).alias("x")).select("x.*")
+
+
+def interval_gain(sites: DataFrame, covered: DataFrame | None, reach: int, strand: str) -> DataFrame:
+    """New bases of each primer on one strand: ``primer, gain``; windows ``[pos, pos + reach)``.
+
+    The covered islands join every candidate's windows, so that one union over
+    all candidates gives all gains.
+    """
+    from helixmill.operators.sites import islands
+
+    own = sites.where(F.col("strand") == strand).select("primer", "genome", F.col("pos").alias("s"), (F.col("pos") + reach).alias("e"))
+    if covered is None:
+        return islands(own, ["primer", "genome"]).groupBy("primer").agg(F.sum(F.col("e") - F.col("s")).alias("gain"))
+    names = own.select("primer").distinct()
+    both = own.unionByName(covered.join(F.broadcast(names)).select("primer", "genome", "s", "e"))
+    size = covered.agg(F.sum(F.col("e") - F.col("s")).alias("have"))
+    total = islands(both, ["primer", "genome"]).groupBy("primer").agg(F.sum(F.col("e") - F.col("s")).alias("all"))
+    return total.join(F.broadcast(size)).select("primer", (F.col("all") - F.col("have")).alias("gain"))
+
+
+@register("tiling")
+def tiling(sites: DataFrame, background: DataFrame, reach: int, rounds: int) -> DataFrame:
+    """Per strand, the primer with the greatest ``gain / (1 + bg / (fg + 1))`` again and again: ``strand, step, primer, gain``."""
+    from helixmill.operators.sites import islands
+
+    fg = sites.groupBy("primer").agg(F.count("*").alias("fg"))
+    weight = fg.join(background, "primer", "left").select("primer", (1 + F.coalesce("bg_sites", F.lit(0)) / (F.col("fg") + 1)).alias("w"))
+    out = []
+    for strand in ("+", "-"):
+        picks: list[str] = []
+        for step in range(1, rounds + 1):
+            mine = sites.where((F.col("strand") == strand) & F.col("primer").isin(picks)).select("genome", F.col("pos").alias("s"), (F.col("pos") + reach).alias("e"))
+            g = interval_gain(sites, islands(mine, ["genome"]) if picks else None, reach, strand)
+            top = g.join(weight, "primer").where("gain > 0").withColumn("score", F.col("gain") / F.col("w")).where(~F.col("primer").isin(picks)).orderBy(F.desc("score"), "primer").limit(1).collect()
+            if not top:
+                break
+            picks.append(top[0]["primer"])
+            out.append((strand, step, top[0]["primer"], int(top[0]["gain"])))
+    return sites.sparkSession.createDataFrame(out, "strand string, step int, primer string, gain long")
+
+
+# Weights of coverage, connectivity, amplification and background by strategy.
+STRATEGIES = {"clinical": (0.2, 0.2, 0.2, 0.4), "discovery": (0.4, 0.3, 0.2, 0.1), "fast": (0.5, 0.3, 0.2, 0.0), "balanced": (0.25, 0.25, 0.25, 0.25), "enrichment": (0.3, 0.25, 0.3, 0.15)}
+
+
+@register("normalized")
+def normalized(metrics: DataFrame, strategy: str = "balanced") -> DataFrame:
+    """Weighted sum of four scores in [0, 1]; ``metrics`` has ``primer, coverage, connectivity, amplification, background``; the last two on a log scale to a million."""
+    w = STRATEGIES[strategy]
+    log_ = lambda c: F.least(F.lit(1.0), F.log10(1 + F.greatest(F.col(c), F.lit(0.0))) / 6)
+    one = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
+    return metrics.withColumn("score", w[0] * one("coverage") + w[1] * one("connectivity") + w[2] * log_("amplification") + w[3] * (1 - log_("background")))
+
+
+@register("moea")
+def layers(df: DataFrame, up: str, other_up: str, most: int = 5) -> DataFrame:
+    """Layers of rows that no row of the same or a later layer beats: ``layer`` from 1."""
+    out, rest = None, df
+    for i in range(1, most + 1):
+        front = skyline(rest, up, other_up).withColumn("layer", F.lit(i))
+        out = front if out is None else out.unionByName(front)
+        rest = rest.join(front.drop("layer"), [c for c in df.columns], "left_anti")
+    return out
+
+
+def cascade(pool: DataFrame, stages: list[tuple[Callable[[DataFrame], DataFrame], int]]) -> DataFrame:
+    """Each stage ranks the pool (``primer, score``) and keeps its best ``n``."""
+    for rank, n in stages:
+        best = rank(pool).orderBy(F.desc("score"), "primer").limit(n).select("primer")
+        pool = pool.join(best, "primer", "left_semi")
+    return pool
+
+
+@register("hybrid")
+def hybrid(incidence: DataFrame, background: DataFrame, size: int, wide: int = 2) -> DataFrame:
+    """Cover with ``wide`` times the size, then drop what costs most background for its coverage."""
+    picks = set_cover(incidence, size * wide).select("primer")
+    cost = prune_order(incidence.join(picks, "primer", "left_semi"), background)
+    return cost.orderBy("cost", F.desc("loss"), "primer").limit(size)
+
+
+@register("background-aware")
+def background_aware(incidence: DataFrame, background: DataFrame, size: int) -> DataFrame:
+    """Cover weighted against background sites."""
+    q = incidence.select("primer").distinct().join(background, "primer", "left").select("primer", (1 / (1 + F.coalesce("bg_sites", F.lit(0)))).alias("quality"))
+    return set_cover(incidence, size, q)
