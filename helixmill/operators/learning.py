@@ -1,7 +1,5 @@
 """Active learning, experiment log and calibration."""
 
-from __future__ import annotations
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ class GaussianProcess:
         d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
         return np.exp(-d / (2 * self.scale**2))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> GaussianProcess:
+    def fit(self, x: np.ndarray, y: np.ndarray) -> "GaussianProcess":
         self.mean, self.std = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
         self.x, self.base = (x - self.mean) / self.std, y.mean()
         self.root = np.linalg.cholesky(self._k(self.x, self.x) + self.noise * np.eye(len(x)))
@@ -37,11 +35,11 @@ def suggest(candidates: DataFrame, model: GaussianProcess, features: list[str],
     shared = candidates.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def bound(*columns: pd.Series) -> pd.Series:
-        mean, std = shared.value.predict(np.column_stack([c.to_numpy(float) for c in columns]))
+    def bound(x: pd.DataFrame) -> pd.Series:
+        mean, std = shared.value.predict(x.to_numpy(float))
         return pd.Series(mean + kappa * std)
 
-    return candidates.withColumn("bound", bound(*[F.col(c).cast("double") for c in features])).orderBy(F.desc("bound"), *candidates.columns[:1]).limit(n)
+    return candidates.withColumn("bound", bound(F.struct(*[F.col(c).cast("double").alias(c) for c in features]))).orderBy(F.desc("bound"), *candidates.columns[:1]).limit(n)
 
 
 def record(spark: SparkSession, path: str, rows: DataFrame) -> None:

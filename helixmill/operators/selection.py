@@ -210,11 +210,15 @@ def normalized(metrics: DataFrame, strategy: str = "balanced") -> DataFrame:
 @register("moea")
 def layers(df: DataFrame, up: str, other_up: str, most: int = 5) -> DataFrame:
     """Layers of rows that no row of the same or a later layer beats: ``layer`` from 1."""
-    out, rest = None, df
+    from helixmill.operators.lineage import cut
+
+    out, rest = None, cut(df)
     for i in range(1, most + 1):
-        front = skyline(rest, up, other_up).withColumn("layer", F.lit(i))
-        out = front if out is None else out.unionByName(front)
-        rest = rest.join(front.drop("layer"), [c for c in df.columns], "left_anti")
+        front = skyline(rest, up, other_up).select(*df.columns)
+        one = front.withColumn("layer", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+        if i < most:
+            rest = cut(rest.join(front, df.columns, "left_anti"))
     return out
 
 
