@@ -79,3 +79,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: i
     keep = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "dead")
     kept = F.when(F.size("dead") == 0, F.array_join("ls", "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("ls", i)), "\n"))
     return j.select(key, F.size("ls").cast("long").alias("n_lines"), F.size("dead").cast("long").alias("n_deleted"), F.size("runs").cast("long").alias("n_runs"), kept.alias("kept"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i, ls[i:i + {MIN_LINES - 1}] AS k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - {MIN_LINES - 2})) AS i FROM d WHERE len(ls) >= {MIN_LINES})),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {MIN_LINES})) AS i FROM a),
+n AS (SELECT g.doc_id, g.i, len(ls[g.i]) AS chars, g.i - row_number() OVER (PARTITION BY g.doc_id ORDER BY g.i) AS run FROM g JOIN d USING (doc_id)),
+t AS (SELECT doc_id, run FROM n GROUP BY doc_id, run HAVING sum(chars) >= {MIN_CHARS}),
+x AS (SELECT n.doc_id, n.i, n.run FROM n JOIN t USING (doc_id, run)),
+s AS (SELECT doc_id, count(*) AS gone, count(DISTINCT run) AS runs, list(i) AS dead FROM x GROUP BY doc_id)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_deleted, coalesce(runs, 0)::BIGINT AS n_runs,
+    sha256(CASE WHEN dead IS NULL THEN array_to_string(ls, chr(10)) ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(dead, i)), lambda i: ls[i]), chr(10)), '') END) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""

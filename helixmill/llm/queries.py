@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_jaccard_join": ngram_join.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE}

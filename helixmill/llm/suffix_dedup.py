@@ -276,3 +276,16 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     kind = docs.schema[key].dataType.simpleString()
     joined = tied.join(spans, tied[key].eqNullSafe(spans["doc"]) & (tied["__tie"] == spans["tie"]), "left").select(tied[key], tied[text], "spans")
     return joined.mapInArrow(_cut(with_text), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + {2 * LENGTH}]) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE len(h) >= {2 * LENGTH})),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1),
+m AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS new FROM a),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
+r AS (SELECT doc_id, min(i) AS s, max(i) + {LENGTH} AS e FROM n GROUP BY doc_id, run),
+p AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM r),
+x AS (SELECT p.doc_id, count(*) AS runs, sum(e - s) AS gone, string_agg(h[2 * b + 1:2 * s], '' ORDER BY s) || any_value(h)[2 * max(e) + 1:] AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+"""
