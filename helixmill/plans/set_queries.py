@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import scores, seq, thermo
 from helixmill.operators import genomes, kmers, pairs, selection, simulation, sites
-from helixmill.plans.queries import SEQ, SITES, is_target, line_sites, query, r, rc, sequences, shares_sql, table, top_candidates, top_sql
+from helixmill.plans.queries import SEQ, SITES, is_target, line_sites, nn_sql, query, r, rc, sequences, shares_sql, table, top_candidates, top_sql
 
 KEYS = ["genome", "primer"]
 GAPS = f"WITH {SITES}, l AS (SELECT genome, primer, strand, pos - lag(pos) OVER (PARTITION BY genome, primer, strand ORDER BY pos) AS gap FROM sites), gaps AS (SELECT * FROM l WHERE gap IS NOT NULL)"
@@ -245,9 +245,14 @@ def primers_to_replace(spark, d):
     return p.withColumn("s", pairs.replacement_rank(p)).orderBy(F.desc("s"), "primer").limit(10).select("primer", r(F.col("s")).alias("rank_score"))
 
 
-@query()
+HS, ES = nn_sql("s")
+
+
+@query(f"""{top_sql(500, 12)}, g AS (SELECT primer, a AS start, m AS stem, l AS loop, primer[a:a + m - 1] AS s, primer[a + m + l:a + 2 * m + l - 1] AS z FROM (SELECT primer, unnest(range(1, 13)) AS a FROM top), range(3, 9) x(m), range(3, 9) y(l) WHERE a + 2 * m + l - 1 <= 12)
+SELECT primer, start::INT AS start, stem::INT AS stem, loop::INT AS loop, round({HS} - 310.15 * ({ES}) / 1000 + [5.6, 5.0, 5.2, 5.4][least(loop, 6) - 2] + CASE WHEN loop > 6 THEN {1.75 * 1.987e-3 * 310.15!r} * ln(loop / 6.0) ELSE 0 END, 6) AS energy FROM g WHERE s = {rc('z')}""")
 def hairpins(spark, d):
-    return pairs.hairpins(top_candidates(spark, d, 500, 12).select("primer"))
+    h = pairs.hairpins(top_candidates(spark, d, 500, 12).select("primer"))
+    return h.withColumn("energy", r(F.col("energy")))
 
 
 # --- selection -------------------------------------------------------------
