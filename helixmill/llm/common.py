@@ -47,9 +47,12 @@ class Stash:
         self.base = f"{shared_dir(spark)}/helixmill-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        self.due = False
 
     def put(self, df: DataFrame, release: bool = False) -> DataFrame:
         """``release``: the shuffle files of a large job should go before the next begins."""
+        self.release()
+        self.due = release
         path = f"{self.base}/{self.n}"
         self.n += 1
         held = self.spark.conf.get(BATCH)
@@ -60,8 +63,6 @@ class Stash:
             self.spark.conf.set(BATCH, held)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        if release:
-            self._release()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -72,6 +73,7 @@ class Stash:
 
     def drop_others(self, *kept: DataFrame) -> None:
         """Delete all tables but these."""
+        self.release()
         paths = {self.paths[id(f)] for f in kept}
         for i, path in list(self.paths.items()):
             if path not in paths:
@@ -82,16 +84,19 @@ class Stash:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    def _release(self) -> None:
-        """Let the driver's cleaner remove the shuffle files that the written table has made useless.
+    def release(self) -> None:
+        """Let the driver's cleaner remove the shuffle files that a written table has made useless.
 
         The cleaner follows the driver's garbage collection, which else runs
-        too seldom; listeners hold the finished plan until their queue is empty.
+        too seldom.  The finished plan is still held while its ``put`` returns,
+        so this is done before the next one.
         """
-        gc.collect()
-        time.sleep(0.3)
-        self.spark._jvm.System.gc()
-        time.sleep(0.3)
+        if self.due:
+            self.due = False
+            gc.collect()
+            time.sleep(0.2)
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def few_rows(df: DataFrame, most: int) -> bool:

@@ -85,21 +85,22 @@ def _anchor_rows(length: int, k: int):
             def rows(batch=batch, seeds=seeds, reach=reach, row=row, pos=pos) -> pa.RecordBatch:
                 r = np.repeat(row, [len(x) for x in pos])
                 s, o, p = np.concatenate(seeds), np.concatenate(reach), np.concatenate(pos)
-                to, sure = p.copy(), np.zeros(len(p), bool)
                 if increasing(batch.column(0)):
                     # rows stand in the order of documents: what comes again in this chunk is known as a repeat
                     first = np.zeros(len(p), bool)
                     first[np.unique(mix(s) ^ o, return_index=True)[1]] = True
                     sure = ~first
-                    # neighbouring repeats of a document become one range, dealt out by a number of its own
+                    # neighbouring repeats of a document become one range: reach holds its last anchor, the place is
+                    # written as -1 - place, and the seed is a number of its own
                     head = sure & np.r_[True, ~sure[:-1] | (r[1:] != r[:-1])]
                     last = sure & np.r_[~sure[1:] | (r[1:] != r[:-1]), True]
-                    to[head] = p[last]
-                    keep = first | head
                     s[head] = mix(s[head] + p[head].astype(np.uint64) * np.uint64(2) + np.uint64(r[0] + 1))
-                    r, s, o, p, to, sure = (x[keep] for x in (r, s, o, p, to, sure))
+                    o[head] = p[last].astype(np.uint64)
+                    p = np.where(head, -1 - p, p)
+                    keep = first | head
+                    r, s, o, p = (x[keep] for x in (r, s, o, p))
                 r = pa.array(r)
-                out = pa.RecordBatch.from_arrays([_u(s), _u(o), batch.column(0).take(r), batch.column(1).take(r), pa.array(p.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(sure)], names=["seed", "reach", "doc", "tie", "pos", "to", "sure"])
+                out = pa.RecordBatch.from_arrays([_u(s), _u(o), batch.column(0).take(r), batch.column(1).take(r), pa.array(p.astype(np.int32))], names=["seed", "reach", "doc", "tie", "pos"])
                 for x in (seeds, reach, row, pos):
                     x.clear()
                 return out
@@ -199,14 +200,14 @@ def repeated_ranges(docs: DataFrame, stash: Stash, key: str = "doc_id", text: st
     width = length - k
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("doc"), F.col("__tie").alias("tie"), F.col(text).alias("text"))
-    rows = src.mapInArrow(_anchor_rows(length, k), f"seed long, reach long, doc {kind}, tie int, pos int, to int, sure boolean")
+    rows = src.mapInArrow(_anchor_rows(length, k), f"seed long, reach long, doc {kind}, tie int, pos int")
     same = Window.partitionBy("seed", "reach").orderBy("doc", "tie", "pos")
     seed = Window.partitionBy("seed")
     first = stash.put(
         rows.repartition("seed")
         .select("*", F.rank().over(same).alias("nth"), (F.min("reach").over(seed) != F.max("reach").over(seed)).alias("open"))
-        .where("sure or nth > 1 or open")
-        .select("doc", "tie", "pos", "to", (F.col("sure") | (F.col("nth") > 1)).alias("again")),
+        .where("pos < 0 or nth > 1 or open")
+        .select("doc", "tie", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), F.when(F.col("pos") < 0, F.col("reach").cast("int")).otherwise(F.col("pos")).alias("to"), ((F.col("pos") < 0) | (F.col("nth") > 1)).alias("again")),
         release=True,
     )
     marks = [first.where("again").select("doc", "tie", F.greatest(F.lit(0), F.col("pos") - width).alias("s"), (F.col("to") + length).alias("e"))]
