@@ -94,9 +94,10 @@ class Stash:
         if self.due:
             self.due = False
             gc.collect()
-            time.sleep(0.2)
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
+            for pause in (0.2, 0.5):  # the first round frees the plan, the second what hangs on it
+                time.sleep(pause)
+                self.spark._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def few_rows(df: DataFrame, most: int) -> bool:
