@@ -18,14 +18,24 @@ stay; a null key comes first; rows that share a key are ordered by text,
 identical ones count as one document and are returned each; other columns are
 ignored.  Line IDs and ranks are pairs of 64-bit hashes, checked by nothing
 else: at 2^40 different lines a false match has a chance of about 2^-48.
+
+``dedup_runs`` has no least number of lines: each run of one line or more and
+``min_chars`` characters that also starts earlier goes.  A run is the union of
+its shortest parts of ``min_chars`` characters, from each line on and up to
+each line, so only these at most two windows a line are ranked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import Stash
+from helixmill.llm.grams import Rolling
 from helixmill.llm.suffix_dedup import with_tie
 
 MIN_LINES = 3
@@ -81,6 +91,57 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: i
     return j.select(key, F.size("ls").cast("long").alias("n_lines"), F.size("dead").cast("long").alias("n_deleted"), F.size("runs").cast("long").alias("n_runs"), kept.alias("kept"))
 
 
+def _windows(min_chars: int):
+    """Shortest windows of lines with ``min_chars`` characters from each line on and up to each line, with two hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = Rolling(3), Rolling(7)
+        for batch in batches:
+            row, spans, ranks = [], [], []
+            for i, text in enumerate(batch.column(2)):
+                lines = (text.as_py() or "").split("\n")
+                n = len(lines)
+                chars = np.cumsum([0, *map(len, lines)])
+                at = np.cumsum([0, *(len(x.encode()) + 1 for x in lines)])
+                on = np.searchsorted(chars, chars[:-1] + min_chars)  # one past the last line
+                on = np.maximum(on, np.arange(n) + 1)
+                to = np.minimum(np.searchsorted(chars, chars[1:] - min_chars, "right") - 1, np.arange(n))
+                forth = np.stack([np.arange(n), on], 1)[on <= n]
+                back = np.stack([to, np.arange(n) + 1], 1)[to >= 0]
+                w = np.unique(np.concatenate([forth, back]), axis=0)
+                data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+                row.append(np.full(len(w), i))
+                spans.append(w)
+                ranks.append(np.stack([h.slices(h.prefix(data), at[w[:, 0]], at[w[:, 1]] - 1) for h in (a, b)], 1).view(np.int64))
+            if not row:
+                continue
+            r, w, h = pa.array(np.concatenate(row)), np.concatenate(spans).astype(np.int32), np.concatenate(ranks)
+            cols = [batch.column(0).take(r), batch.column(1).take(r), *(pa.array(np.ascontiguousarray(x)) for x in (w[:, 0], w[:, 1], h[:, 0], h[:, 1]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "tie", "s", "e", "r1", "r2"])
+
+    return run
+
+
+def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """As :func:`dedup`, for repeated runs of any number of lines."""
+    stash = Stash(docs.sparkSession)
+    tied = with_tie(docs.select(key, text), key, text)
+    kind = docs.schema[key].dataType.simpleString()
+    windows = tied.select(F.col(key).alias("doc"), F.col("__tie").alias("tie"), F.col(text).alias("text")).mapInArrow(_windows(min_chars), f"doc {kind}, tie int, s int, e int, r1 long, r2 long")
+    place = F.struct("doc", "tie", "s")
+    first = windows.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = windows.join(first, ["r1", "r2"]).where(place != F.col("first"))
+    lines = again.groupBy("doc", "tie").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    gone = stash.put(lines.select("doc", "tie", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))).alias("gone")), release=True)
+    stash.drop_others(gone)
+    none = F.array().cast("array<int>")
+    j = tied.join(gone, tied[key].eqNullSafe(gone["doc"]) & (tied["__tie"] == gone["tie"]), "left").select(tied[key], F.split(F.coalesce(tied[text], F.lit("")), "\n", -1).alias("ls"), F.coalesce("gone", none).alias("gone"))
+    runs = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone")
+    kept = F.when(F.size("gone") == 0, F.array_join("ls", "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("ls", i)), "\n"))
+    return j.select(key, F.size("ls").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_deleted"), F.size(runs).cast("long").alias("n_runs"), kept.alias("kept"))
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, i, ls[i:i + {MIN_LINES - 1}] AS k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - {MIN_LINES - 2})) AS i FROM d WHERE len(ls) >= {MIN_LINES})),
@@ -94,3 +155,19 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_delete
     sha256(CASE WHEN dead IS NULL THEN array_to_string(ls, chr(10)) ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(dead, i)), lambda i: ls[i]), chr(10)), '') END) AS kept_sha256
 FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+RUNS_ORACLE = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+c AS (SELECT doc_id, i, coalesce(sum(len(line)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(len(line)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
+w AS (SELECT x.doc_id, x.i AS s, min(y.i) AS e FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.b - x.a >= {MIN_CHARS} GROUP BY ALL
+    UNION SELECT y.doc_id, max(x.i), y.i FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.b - x.a >= {MIN_CHARS} GROUP BY y.doc_id, y.i),
+k AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY ls[s:e] ORDER BY doc_id, s) AS rn FROM w JOIN d USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM k WHERE rn > 1),
+n AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+t AS (SELECT doc_id, count(*) AS gone, count(DISTINCT run) AS runs, list(i) AS dead FROM n GROUP BY doc_id)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_deleted, coalesce(runs, 0)::BIGINT AS n_runs,
+    sha256(CASE WHEN dead IS NULL THEN array_to_string(ls, chr(10)) ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(dead, i)), lambda i: ls[i]), chr(10)), '') END) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""

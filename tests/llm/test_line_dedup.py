@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from helixmill.llm import line_dedup
+from helixmill.llm import line_dedup, queries
 
 
 def brute(rows, m, min_chars):
@@ -48,3 +48,40 @@ def test_repeated_rows_and_empty(spark):
     got = line_dedup.dedup(spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_deleted) for r in got) == [(1, 0), (1, 0), (2, 6)]
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_runs(rows, min_chars):
+    seen, out = set(), []
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ls = (t or "").split("\n")
+        dead = set()
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                w = tuple(ls[i:j])
+                if sum(map(len, w)) >= min_chars and w in seen:
+                    dead |= set(range(i, j))
+                seen.add(w)
+        n_runs = sum(i - 1 not in dead for i in dead)
+        out.append((d, len(ls), len(dead), n_runs, "\n".join(x for i, x in enumerate(ls) if i not in dead)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("chars", [1, 6, 9, 30])
+def test_runs_of_any_number_of_lines(spark, chars):
+    rnd = random.Random(chars)
+    rows = [(None, "a\nb\nc\nd\ne"), (0, None), (1, ""), (2, "\n\n\n\n\n\n"), (3, "a\nb\nc\nd\ne\nf")]
+    for i in range(4, 80):
+        ls = [rnd.choice(["aa", "b", "é", "dd ", "", "line %d" % rnd.randint(0, 9), "long " * 7]) for _ in range(rnd.randint(1, 9))]
+        if rnd.random() < 0.4:
+            ls += (rnd.choice(rows)[1] or "").split("\n")
+        rows.append((i, "\n".join(ls)))
+    rnd.shuffle(rows)
+    got = sorted((tuple(r) for r in line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=chars).collect()), key=str)
+    assert got == brute_runs(rows, chars)
+
+
+def test_query_deletes_copies_of_one_and_two_lines(spark, tmp_path):
+    one, two = "one line of many words " * 8, "first of two lines " * 3 + "\n" + "second of two lines " * 3
+    spark.createDataFrame([(1, one), (2, two), (3, one), (4, two), (5, "short"), (6, "short"), (7, one + "\nown")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_deleted for r in queries.queries()["op1_line_dedup_runs"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 2, 5: 0, 6: 0, 7: 1}
