@@ -429,7 +429,7 @@ def delta_g_histogram(spark, d):
 
 @query()
 def gillespie_runs(spark, d):
-    s = line_sites(spark, d).groupBy(F.col("genome").alias("set_id")).agg(F.least(F.count_if(F.col("primer") != "R"), F.lit(200)).alias("fg_sites"), F.least(F.count_if(F.col("primer") == "R"), F.lit(200)).alias("bg_sites"))
+    s = line_sites(spark, d).groupBy(F.col("genome").alias("set_id")).agg(F.count_if(F.col("primer") != "R").alias("fg_sites"), F.count_if(F.col("primer") == "R").alias("bg_sites"))
     return simulation.gillespie(s)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import seq
 from helixmill.operators import genomes, kmers, pairs, selection, simulation, sites
+from helixmill.plans import queries
 from helixmill.sinks import files
 
 COMP = str.maketrans("ACGT", "TGCA")
@@ -150,6 +151,14 @@ def test_simulations_are_reproducible(spark):
     assert all(x[-2:] == (0, 0) for x in a if x[0] == 2)
 
 
+def test_gillespie_query_takes_all_sites(spark, tmp_path):
+    rows = [(1, "AR"[i % 2], i % 7, i) for i in range(6000)]
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_linenumber int, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    last = [r for r in queries.QUERIES["gillespie_runs"](spark, str(tmp_path)).collect() if r.t == 60]
+    # some 9 of 100 sites are bound at a time
+    assert len(last) == 4 and all(r.fg_bound > 200 and r.bg_bound > 200 for r in last)
+
+
 def test_sinks(spark):
     p = spark.createDataFrame([("ACGT",), ("AAAA",)], "primer string")
     assert [r.value for r in files.fasta_lines(p).collect()] == [">SET_001", "AAAA", ">SET_002", "ACGT"]
