@@ -89,20 +89,32 @@ def beam(scored: DataFrame, pairs: DataFrame, size: int, width: int = 10, per_st
 
 
 @register("clique")
-def dimer_free_sets(primers: DataFrame, pairs: DataFrame, size: int, most: int = 2000) -> DataFrame:
-    """Sets of ``size`` primers without a dimer, grown level by level; at most ``most`` of a level, in order."""
-    ok = pairs.where("not dimer").select("a", "b")
-    level = primers.select(F.array("primer").alias("members"))
+def dimer_free_sets(primers: DataFrame, pairs: DataFrame, size: int, most: int = 1_000_000) -> DataFrame:
+    """All sets of ``size`` primers without a dimer, grown level by level; more than ``most`` in a level are an error."""
+    from helixmill.operators.lineage import cut
+
+    own = cut(primers.select("primer").distinct())
+    ok = cut(pairs.where("not dimer").join(own.withColumnRenamed("primer", "a"), "a", "left_semi").join(own.withColumnRenamed("primer", "b"), "b", "left_semi").select("a", "b"))
+    level = own.select(F.array("primer").alias("members"))
     for _ in range(size - 1):
         grown = level.join(ok, F.element_at("members", -1) == F.col("a")).select("members", F.col("b").alias("next"))
         if _:
             others = grown.select("members", "next", F.explode("members").alias("m"))
             good = others.join(ok, (others["m"] == ok["a"]) & (others["next"] == ok["b"])).groupBy("members", "next").count()
             grown = good.where(F.col("count") == F.size("members")).select("members", "next")
-        level = grown.select(F.concat("members", F.array("next")).alias("members")).orderBy("members").limit(most)
+        level = cut(grown.select(F.concat("members", F.array("next")).alias("members")))
+        if level.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} dimer-free sets; rank and limit the candidates first")
     return level
 
 
+def best_ratio(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """The set with most foreground sites for each background site (plus one): ``members``; ``counts`` has ``primer, fg_sites, bg_sites``."""
+    each = sets.select("members", F.explode("members").alias("primer")).join(counts, "primer", "left")
+    n = each.groupBy("members").agg(F.coalesce(F.sum("fg_sites"), F.lit(0)).alias("f"), F.coalesce(F.sum("bg_sites"), F.lit(0)).alias("b"))
+    return n.orderBy(F.desc(F.col("f") / (F.col("b") + 1)), "members").limit(1).select("members")
+
+
 def skyline(df: DataFrame, up: str, other_up: str) -> DataFrame:
     """Rows that no row beats in both columns (not worse in both, better in one); one sort, no pairs."""
     best = df.groupBy(up).agg(F.max(other_up).alias("__m"))
@@ -119,7 +131,9 @@ def genetic(scored: DataFrame, pairs: DataFrame, size: int, population: int = 40
     """
     import numpy as np
 
-    rows = scored.orderBy("primer").limit(5000).collect()
+    rows = scored.orderBy("primer").limit(5001).collect()
+    if len(rows) > 5000:
+        raise ValueError("more than 5000 candidates; rank and limit them first")
     names = [r["primer"] for r in rows]
     score = np.array([r["score"] for r in rows], float)
     index = {p: i for i, p in enumerate(names)}

@@ -90,6 +90,8 @@ def step4(method: str, scored: DataFrame, where: DataFrame, cfg: Config) -> Data
     inc = sites.bins_of(fg, ["primer", "genome"], reach, cfg.bin_size).select("primer", F.concat_ws(":", "genome", F.col("bin").cast("string")).alias("bin"))
     table = lambda pool: pairs.dimer_table(pool.select("primer"), cfg.max_dimer_bp)
     first = lambda sets: sets.limit(1).select(F.explode("members").alias("primer"))
+    counts = where.groupBy("primer").agg(F.count_if(F.col("role") == "target").alias("fg_sites"), F.count_if(F.col("role") == "background").alias("bg_sites"))
+    clean = lambda pool: first(selection.best_ratio(selection.dimer_free_sets(pool.select("primer"), table(pool), n), counts))
     by_score = lambda pool: pool.select("primer").join(scored.select("primer", "score"), "primer")
     gain = lambda pool: selection.best_gain(inc.join(pool.select("primer"), "primer", "left_semi"), None).withColumnRenamed("gain", "score")
     if method == "dominating-set":
@@ -112,10 +114,10 @@ def step4(method: str, scored: DataFrame, where: DataFrame, cfg: Config) -> Data
         return s.where("f is not null").orderBy(F.desc(F.col("f") / (F.coalesce("b", F.lit(0.0)) + 1)), "primer").limit(n).select("primer")
     if method in ("clique", "coverage-then-dimerfree"):
         pool = selection.cascade(scored, [(gain, 4 * n)])
-        return first(selection.dimer_free_sets(pool.select("primer"), table(pool), n))
+        return clean(pool)
     if method == "dimerfree-scored":
         pool = selection.cascade(scored, [(by_score, 4 * n)])
-        return first(selection.dimer_free_sets(pool.select("primer"), table(pool), n))
+        return clean(pool)
     if method == "bg-prefilter-hybrid":
         pool = selection.prune_order(inc, bg).orderBy("cost", "primer").limit(4 * n)
         return selection.hybrid(inc.join(pool, "primer", "left_semi"), bg, n).select("primer")

@@ -125,6 +125,27 @@ def test_search(spark):
     assert ga[0].fitness >= 15 and selection.genetic(scored, table, 3).collect() == ga
 
 
+def test_dimer_free_sets_are_whole_and_ranked(spark):
+    names = ["p%02d" % i for i in range(30)]
+    p = spark.createDataFrame([(x,) for x in names], "primer string")
+    table = spark.createDataFrame([(a, b, False, 0.0) for a in names for b in names if a < b], "a string, b string, dimer boolean, severity double")
+    sets = selection.dimer_free_sets(p, table, 3)
+    assert len({tuple(r.members) for r in sets.collect()}) == sets.count() == 4060
+    assert selection.dimer_free_sets(p.where("primer < 'p10'"), table, 3).count() == 120
+    with pytest.raises(ValueError):
+        selection.dimer_free_sets(p, table, 3, most=4059)
+    counts = spark.createDataFrame([(x, i, 9 if i < 27 else 0) for i, x in enumerate(names)], "primer string, fg_sites long, bg_sites long")
+    assert selection.best_ratio(sets, counts).first().members == ["p27", "p28", "p29"]
+
+
+def test_too_many_candidates_are_an_error(spark):
+    many = spark.range(5001).select(F.format_string("p%05d", "id").alias("primer"), F.lit(1.0).alias("score"))
+    with pytest.raises(ValueError):
+        selection.genetic(many, spark.createDataFrame([], "a string, b string, dimer boolean"), 3)
+    with pytest.raises(ValueError):
+        simulation.delta_g_histogram(many, spark.createDataFrame([], "kmer string, n long"), simulation.EDGES)
+
+
 def test_pairs_and_hairpins(spark):
     p = spark.createDataFrame([("ACGTACGT",), ("TTTTTTTT",), ("AAAAAAAA",)], "primer string")
     d = {(r.a, r.b): r.dimer for r in pairs.dimer_table(p).collect()}
