@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's own setting: the shuffle files of a plan go when its execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 
 
@@ -23,10 +23,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from ``spark.checkpoint.dir``.  Only where that is unset (tests,
-    local mode) a folder of this machine is set up and remembered.
+    Taken from ``spark.checkpoint.dir``.  Only where that is unset and the
+    master is local (tests) a folder of this machine is set up and remembered;
+    on a cluster it must be set, as executors don't see each other's folders.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not where:
         where = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not where:
@@ -38,8 +41,9 @@ class Stash:
     """Tables written to the shared folder to cut lineage.
 
     ``put`` writes a DataFrame as Parquet and reads it back: a lost executor
-    then costs a re-read, not a re-run.  ``drop`` deletes tables that later
-    ones have replaced.
+    then costs a re-read, not a re-run.  The shuffle files of the job that wrote
+    it go as it ends.  ``drop`` deletes tables that later ones have replaced;
+    the rest go with the driver's JVM, as results are lazy and still read them.
     """
 
     def __init__(self, spark: SparkSession):
@@ -47,24 +51,30 @@ class Stash:
         self.base = f"{shared_dir(spark)}/helixmill-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
-        self.due = False
+        path, store = self._at(self.base)
+        store.deleteOnExit(path)
 
-    def put(self, df: DataFrame, release: bool = False) -> DataFrame:
-        """``release``: the shuffle files of a large job should go before the next begins."""
-        self.release()
-        self.due = release
+    def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        held = self.spark.conf.get(BATCH)
-        self.spark.conf.set(BATCH, min(int(held), 2000) if int(held) > 0 else 2000)  # whole texts: small batches bound the workers' memory
+        conf = self.spark.conf
+        held, cleaned = conf.get(BATCH), conf.get(CLEANUP)
+        conf.set(BATCH, min(int(held), 2000) if int(held) > 0 else 2000)  # whole texts: small batches bound the workers' memory
+        conf.set(CLEANUP, "true")
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(BATCH, held)
+            conf.set(BATCH, held)
+            conf.set(CLEANUP, cleaned)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
+    def folder(self) -> str:
+        """A new folder beside the tables."""
+        self.n += 1
+        return f"{self.base}/{self.n - 1}"
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             path = self.paths.pop(id(f), None)
@@ -73,31 +83,19 @@ class Stash:
 
     def drop_others(self, *kept: DataFrame) -> None:
         """Delete all tables but these."""
-        self.release()
         paths = {self.paths[id(f)] for f in kept}
         for i, path in list(self.paths.items()):
             if path not in paths:
                 self._delete(path)
                 del self.paths[i]
 
-    def _delete(self, path: str) -> None:
+    def _at(self, path: str) -> tuple:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def release(self) -> None:
-        """Let the driver's cleaner remove the shuffle files that a written table has made useless.
-
-        The cleaner follows the driver's garbage collection, which else runs
-        too seldom.  The finished plan is still held while its ``put`` returns,
-        so this is done before the next one.
-        """
-        if self.due:
-            self.due = False
-            gc.collect()
-            for pause in (0.2, 0.5):  # the first round frees the plan, the second what hangs on it
-                time.sleep(pause)
-                self.spark._jvm.System.gc()
-            time.sleep(0.4)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        p, store = self._at(path)
+        store.delete(p, True)
 
 
 def few_rows(df: DataFrame, most: int) -> bool:

@@ -52,7 +52,7 @@ def repeated_suffixes(ranks: DataFrame, stash: Stash, depth: int) -> DataFrame:
     rank, h = ["r1", "r2"], 1
     while True:
         shared = ranks.groupBy(*rank).count().where("count > 1").select(*rank)
-        live = stash.put(ranks.join(shared, rank).select("doc", "tie", "pos", *rank), release=True)
+        live = stash.put(ranks.join(shared, rank).select("doc", "tie", "pos", *rank))
         if h >= depth:
             first = live.groupBy(*rank).agg(F.min(F.struct("doc", "tie", "pos")).alias("first"))
             return live.join(first, rank).where(F.struct("doc", "tie", "pos") != F.col("first")).select("doc", "tie", "pos")
@@ -75,7 +75,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: i
     """One row per document: key, ``n_lines, n_deleted, n_runs`` and the ``kept`` text."""
     stash = Stash(docs.sparkSession)
     tied = with_tie(docs.select(key, text), key, text)
-    gone = stash.put(deleted_lines(tied, stash, key, text, min_lines), release=True)
+    gone = stash.put(deleted_lines(tied, stash, key, text, min_lines))
     stash.drop_others(gone)
     j = tied.join(gone, tied[key].eqNullSafe(gone["doc"]) & (tied["__tie"] == gone["tie"]), "left").select(tied[key], F.split(F.coalesce(tied[text], F.lit("")), "\n", -1).alias("ls"), "gone")
     runs = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
@@ -132,7 +132,7 @@ def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     first = windows.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = windows.join(first, ["r1", "r2"]).where(place != F.col("first"))
     lines = again.groupBy("doc", "tie").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    gone = stash.put(lines.select("doc", "tie", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))).alias("gone")), release=True)
+    gone = stash.put(lines.select("doc", "tie", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))).alias("gone")))
     stash.drop_others(gone)
     none = F.array().cast("array<int>")
     j = tied.join(gone, tied[key].eqNullSafe(gone["doc"]) & (tied["__tie"] == gone["tie"]), "left").select(tied[key], F.split(F.coalesce(tied[text], F.lit("")), "\n", -1).alias("ls"), F.coalesce("gone", none).alias("gone"))

@@ -164,7 +164,7 @@ def _heavy_rows(least: int):
 def heavy_shingles(texts: DataFrame, stash: Stash, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted heavy shingles (their first 44 bits) and the log2 of their counts; at most ``MAX_HEAVY``."""
     rows = texts.mapInArrow(_count_rows(n), "bucket int, values binary, counts binary")
-    found = stash.put(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_heavy_rows(T), "shingle long, df long"), release=True)
+    found = stash.put(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_heavy_rows(T), "shingle long, df long"))
     by_size = {r[0]: r[1] for r in found.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).count().collect()}  # at most 63 rows
     t, total = 0, sum(by_size.values())
     while total > MAX_HEAVY:
@@ -370,7 +370,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     schema = f"token long, gid long, size int, pos int, doc {kind}, cid long, bits binary"
     rows = src.mapInArrow(_prefix_rows(shared, n, percent), schema)
     spread = F.coalesce(F.xxhash64("token"), F.xxhash64("doc", "cid"))
-    mixed = stash.put(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions(F.col("token").asc_nulls_first()).mapInArrow(_shared_only, schema), release=True)
+    mixed = stash.put(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions(F.col("token").asc_nulls_first()).mapInArrow(_shared_only, schema))
     members = stash.put(mixed.where("token is null").select("doc", "size", "cid", "gid"))
     classes = stash.put(mixed.where("token is null and cid is not null").groupBy("cid").agg(F.min("gid").alias("gid"), F.min("size").alias("size"), F.min("doc").alias("doc"), F.min("pos").alias("light"), F.min("bits").alias("bits")))
     # where two prefixes share a heavy shingle they hold all light ones of their sets: if a light one is common too, the
@@ -379,7 +379,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     light = classes.groupBy("gid").agg(F.min("light").alias("light"))
     heavy = F.col("pos") < 0
     lists = tokens.join(light, "gid").select("token", "gid", "size", F.when(heavy, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), F.when(heavy, F.col("size") - F.col("light")).otherwise(F.col("size")).alias("most"))
-    lists = stash.put(lists.where(100 * F.col("most") >= percent * F.col("size")), release=True)
+    lists = stash.put(lists.where(100 * F.col("most") >= percent * F.col("size")))
     stash.drop(mixed)
 
     # stars: the least group of each list with the others, and the least class of each group with the others
@@ -391,7 +391,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     across = star.join(first, star["ga"] == first["gid"]).select(F.col("first").alias("a"), "gb").join(classes, F.col("gb") == classes["gid"]).select("a", F.col("cid").alias("b"))
     inside = classes.join(first, "gid").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
     pairs = stash.put(_sifted(across.unionByName(inside).distinct(), classes, percent))
-    links = stash.put(_checked(pairs, classes, src, stash, n, percent), release=True)
+    links = stash.put(_checked(pairs, classes, src, stash, n, percent))
     roots = components(links, stash) if links.limit(1).count() else None
 
     # the rest: pairs across components in lists that span several
@@ -418,7 +418,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rest = rest.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = stash.put(_sifted(rest, classes, percent))
     if rest.limit(1).count():
-        more = stash.put(_checked(rest, classes, src, stash, n, percent), release=True)
+        more = stash.put(_checked(rest, classes, src, stash, n, percent))
         if more.limit(1).count():
             roots = components(links.unionByName(more), stash)
 

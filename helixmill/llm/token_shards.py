@@ -120,7 +120,7 @@ def records(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     end = max(vocab.values()) + 1
     dtype = id_type(end)
     stash = Stash(spark)
-    encoded = stash.put(encode(docs, key, text, vocab, length), release=True)
+    encoded = stash.put(encode(docs, key, text, vocab, length))
     at = encoded.select("doc", "seq", "n", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth"))
     files = at.groupBy("file").count()
     base = files.select("file", (F.sum("count").over(Window.orderBy("file")) - F.col("count")).alias("base"), F.sum("count").over(Window.partitionBy(F.lit(1))).alias("total"))
