@@ -34,8 +34,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order."""
-    return token_shards.records(docs)
+    """Raw token shards in training order; their manifest with the documents of each record."""
+    return token_shards.build(docs).withColumnRenamed("keys", "doc_ids")
 
 
 STAGES = [

@@ -54,7 +54,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.records(read(spark, sf_dir, "documents"))
+    return token_shards.build(read(spark, sf_dir, "documents")).withColumnRenamed("keys", "doc_ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
