@@ -4,10 +4,18 @@ Every text gives a vector of five transformed statistics: log word count, log
 mean word length, and the square roots of the rates of symbols, of words in
 repeated three-word windows and of repeated lines.  For each language and
 source the minimum-covariance-determinant estimate of centre and scatter is
-found by concentration steps from a deterministic start (medians and median
-absolute deviations): take the ``H`` share of rows nearest to the present
-estimate, estimate again from these, repeat.  A document is an outlier when
-its squared Mahalanobis distance exceeds ``CUTOFF``.
+found by concentration steps: take the ``H`` share of rows nearest to the
+present estimate, estimate again from these, repeat.  The steps begin from
+several deterministic starts, the shares that are most central by the sum of
+squares, the sum and the maximum of the robust scores of their statistics
+(medians and median absolute deviations).  After ``TRIAL`` steps each group goes
+on with the start of least determinant, until its determinant stops falling.
+
+Groups are no islands: estimates are made as well per language and over all,
+and that of a group of n rows is shrunk to its language's, that of a language to
+the one over all, by the weight ``n / (n + SHRINK)``.  So every document is
+judged, however small its group.  A document is an outlier when its squared
+Mahalanobis distance exceeds ``CUTOFF``.
 
 Everything is DataFrame code.  Order statistics come from histograms with
 fixed bins, so a group of any size is summed in parallel and results do not
@@ -15,12 +23,11 @@ depend on task order.  Only the table of groups, behind Spark's own size
 check, is ever broadcast.
 
 Edge cases: a null or empty text has no words and fails the fixed rules; null
-``lang`` or ``source`` form groups of their own; groups with fewer than
-``MIN_GROUP`` documents that pass the fixed rules are pooled per language, then
-over all; if even that pool is small its documents are kept; repeated rows
-count and are returned each; an empty table gives an empty result; other
-columns are ignored.  Repeated windows are compared by 64-bit hashes within
-one document.
+``lang`` or ``source`` form groups of their own; a lone document that passes the
+fixed rules is its own centre and stays; repeated rows count and are returned
+each; an empty table gives an empty result; other columns are ignored by
+``assess`` and kept by ``keep_good``.  Repeated windows are compared by 64-bit
+hashes within one document.
 """
 
 from __future__ import annotations
@@ -35,8 +42,11 @@ from helixmill.llm.common import Stash, blank_words
 SYMBOLS = "#*$%&|<>"
 P = 5
 H = 0.75
-STEPS = 4
-MIN_GROUP = 40
+#: Concentration steps of every start, and the least fall of the log determinant that is worth another step.
+TRIAL = 2
+FALL = 1e-3
+#: Rows at which a group's own estimate weighs as much as its language's.
+SHRINK = 40
 #: Chi-square of 5 degrees of freedom at a tail of one in a million.
 CUTOFF = 35.9
 #: Consistency factor of the estimate for 5 dimensions and a share of 0.75 under the normal law.
@@ -115,8 +125,8 @@ def _distance(df: DataFrame) -> DataFrame:
     return out.withColumn("__d2", reduce(lambda a, b: a + b, [c * c for c in y])).drop(*[f"__y{i}" for i in range(P)])
 
 
-def _roots(cov: DataFrame, keys: list[str]) -> DataFrame:
-    """Cholesky factor of each group's scatter, unrolled over the five statistics."""
+def _roots(cov: DataFrame, keep: list[str]) -> DataFrame:
+    """Cholesky factor ``l**`` of each scatter ``c**``, unrolled over the five statistics, and its ``logdet``."""
     out = cov
     for i in range(P):
         for j in range(i + 1):
@@ -124,47 +134,94 @@ def _roots(cov: DataFrame, keys: list[str]) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
-    return out.select(*keys, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    logdet = reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(P)])
+    return out.select(*keep, *MEAN, *SCATTER, *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], logdet.alias("logdet"))
 
 
+X = [f"__x{j}" for j in range(P)]
+MEAN = [f"m{i}" for i in range(P)]
+SCATTER = [f"c{i}{j}" for i in range(P) for j in range(i + 1)]
 GROUP = ["__g1", "__g2"]
 NULL = "\x00null"
-POOL = "\x00small"
+ANY = "\x00any"
 
 
 def _keys(df: DataFrame, lang: str, source: str) -> DataFrame:
     return df.withColumn("__lang", F.coalesce(F.col(lang), F.lit(NULL))).withColumn("__source", F.coalesce(F.col(source), F.lit(NULL)))
 
 
-def fit(stats: DataFrame, stash: Stash, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Table of groups: ``__lang, __source`` and the estimate that applies to them (nulls: none)."""
-    rows = _keys(stats.where("not base_failed"), lang, source)
-    sizes = stash.put(rows.groupBy("__lang", "__source").count())
-    big = F.col("count") >= MIN_GROUP
-    rest = F.when(~big, F.col("count"))
-    per_lang = F.sum(rest).over(Window.partitionBy("__lang"))
-    to = sizes.select("__lang", "__source", F.when(big | (per_lang >= MIN_GROUP), F.col("__lang")).otherwise(F.lit(POOL)).alias("__g1"), F.when(big, F.col("__source")).otherwise(F.lit(POOL)).alias("__g2"))
-    to = stash.put(to)
-    x = [f"__x{j}" for j in range(P)]
-    rows = stash.put(rows.join(to, ["__lang", "__source"]).select(*GROUP, *x))
-    long = rows.select(*GROUP, F.posexplode(F.array(*x)).alias("j", "v"))
+def _concentrated(near: DataFrame, keys: list[str], stash: Stash) -> DataFrame:
+    """Estimate from the ``H`` share of each group's rows with the least ``__ld``."""
+    limit = stash.put(_quantile_bin(near, keys, F.col("__ld"), H))
+    inner = near.join(limit, keys).where(_bin(F.col("__ld")) <= F.col("bin"))
+    moments = inner.groupBy(*keys).agg(*[F.avg(X[i]).alias(f"m{i}") for i in range(P)], *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
+    cov = moments.select(*keys, *MEAN, *[(CONSISTENCY * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+    return stash.put(_roots(cov, keys))
+
+
+def _near(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    return _distance(rows.join(model, GROUP)).select(*keys, *X, F.log1p("__d2").alias("__ld"))
+
+
+def _started(rows: DataFrame, stash: Stash) -> DataFrame:
+    """Rows three times, ``__start`` 0 to 2, with the log of three measures of how far they are from the middle."""
+    long = rows.select(*GROUP, F.posexplode(F.array(*X)).alias("j", "v"))
     middle = stash.put(_quantile_bin(long, [*GROUP, "j"], F.col("v"), 0.5).select(*GROUP, "j", ((F.col("bin") + 0.5) / BINS).alias("m")))
     spread = _quantile_bin(long.join(middle, [*GROUP, "j"]), [*GROUP, "j"], F.abs(F.col("v") - F.col("m")), 0.5)
-    start = middle.join(spread, [*GROUP, "j"]).groupBy(*GROUP).agg(
+    both = stash.put(middle.join(spread, [*GROUP, "j"]).groupBy(*GROUP).agg(
         *[F.max(F.when(F.col("j") == i, F.col("m"))).alias(f"m{i}") for i in range(P)],
-        *[F.max(F.when(F.col("j") == i, F.pow(1.4826 * F.col("bin") / BINS, F.lit(2)))).alias(f"c{i}{i}") for i in range(P)],
+        *[F.max(F.when(F.col("j") == i, F.pow(1.4826 * F.col("bin") / BINS, F.lit(2)))).alias(f"v{i}") for i in range(P)],
+    ))
+    z = [F.abs(F.col(X[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"v{i}") + FLOORS[i] ** 2) for i in range(P)]
+    scored = rows.join(both, GROUP).select(*GROUP, *X, *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    z = [F.col(f"z{i}") for i in range(P)]
+    measures = (reduce(lambda a, b: a + b, [c * c for c in z]), reduce(lambda a, b: a + b, z), F.greatest(*z))
+    return scored.select(*GROUP, *X, F.posexplode(F.array(*[F.log1p(m) for m in measures])).alias("__start", "__ld"))
+
+
+def estimates(rows: DataFrame, stash: Stash) -> DataFrame:
+    """Centre and scatter of least determinant per group of ``rows`` (``GROUP`` and ``X``)."""
+    keys = [*GROUP, "__start"]
+    model = _concentrated(_started(rows, stash), keys, stash)
+    for _ in range(TRIAL):
+        model = _concentrated(_near(rows, model, keys), keys, stash)
+    best = stash.put(model.groupBy(*GROUP).agg(F.min_by(F.struct(*[c for c in model.columns if c not in keys]), F.struct("logdet", "__start")).alias("b")).select(*GROUP, "b.*"))
+    falling = best.select(*GROUP)
+    while True:
+        new = _concentrated(_near(rows.join(falling, GROUP, "left_semi"), best, GROUP), GROUP, stash)
+        lower = new.join(best.select(*GROUP, F.col("logdet").alias("__was")), GROUP).where(F.col("logdet") < F.col("__was") - FALL)
+        lower = stash.put(lower.drop("__was"))
+        if not lower.limit(1).count():
+            return best
+        best = stash.put(best.join(lower, GROUP, "left_anti").unionByName(lower))
+        falling = lower.select(*GROUP)
+
+
+def _shrunk(own: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
+    """Mixture of an estimate from ``__n`` rows and its parent's, by the weight n / (n + SHRINK)."""
+    up = parent.select(*on, *[F.col(c).alias(f"p{c}") for c in (*MEAN, *SCATTER)])
+    j = own.join(up, on) if on else own.join(F.broadcast(up))  # the parent of languages is one row
+    w = F.col("__n") / (F.col("__n") + SHRINK)
+    gap = lambda i: F.col(f"m{i}") - F.col(f"pm{i}")
+    keep = [c for c in own.columns if c not in (*MEAN, *SCATTER)]
+    return j.select(
+        *keep,
+        *[(w * F.col(f"m{i}") + (1 - w) * F.col(f"pm{i}")).alias(f"m{i}") for i in range(P)],
+        *[(w * F.col(f"c{i}{k}") + (1 - w) * F.col(f"pc{i}{k}") + w * (1 - w) * gap(i) * gap(k)).alias(f"c{i}{k}") for i in range(P) for k in range(i + 1)],
     )
-    start = start.select("*", *[F.lit(0.0).alias(f"c{i}{j}") for i in range(P) for j in range(i)])
-    model = stash.put(_roots(start, GROUP))
-    for _ in range(STEPS):
-        near = _distance(rows.join(model, GROUP)).select(*GROUP, *x, F.log1p("__d2").alias("__ld"))
-        limit = stash.put(_quantile_bin(near, GROUP, F.col("__ld"), H))
-        inner = near.join(limit, GROUP).where(_bin(F.col("__ld")) <= F.col("bin"))
-        moments = inner.groupBy(*GROUP).agg(*[F.avg(x[i]).alias(f"m{i}") for i in range(P)], *[F.avg(F.col(x[i]) * F.col(x[j])).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
-        cov = moments.select(*GROUP, *[f"m{i}" for i in range(P)], *[(CONSISTENCY * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
-        model = stash.put(_roots(cov, GROUP))
-    enough = to.join(sizes, ["__lang", "__source"]).groupBy(*GROUP).agg(F.sum("count").alias("n")).where(F.col("n") >= MIN_GROUP).select(*GROUP)
-    return stash.put(to.join(model.join(enough, GROUP), GROUP, "left").drop(*GROUP))
+
+
+def fit(stats: DataFrame, stash: Stash, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Table of groups: ``__lang, __source`` and the estimate that applies to them."""
+    passed = _keys(stats.where("not base_failed"), lang, source)
+    group = lambda a, b: F.struct(a.alias("__g1"), b.alias("__g2"))
+    rows = stash.put(passed.select(F.explode(F.array(group(F.col("__lang"), F.col("__source")), group(F.col("__lang"), F.lit(ANY)), group(F.lit(ANY), F.lit(ANY)))).alias("g"), *X).select("g.*", *X))
+    sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("__n"))
+    model = stash.put(estimates(rows, stash).join(sizes, GROUP).select(F.col("__g1").alias("__lang"), F.col("__g2").alias("__source"), "__n", *MEAN, *SCATTER))
+    whole = model.where(F.col("__lang") == ANY)
+    langs = stash.put(_shrunk(model.where((F.col("__lang") != ANY) & (F.col("__source") == ANY)).drop("__source"), whole, []))
+    own = _shrunk(model.where(F.col("__source") != ANY), langs, ["__lang"])
+    return stash.put(_roots(own, ["__lang", "__source"]).drop(*SCATTER, "logdet"))
 
 
 def score(stats: DataFrame, model: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -185,12 +242,22 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The statistics are computed again next to the text instead of shuffling
-    the texts to their verdicts.
+    Documents are written once beside their statistics, so that no text is read
+    twice or shuffled to its verdict.
     """
     stash = Stash(docs.sparkSession)
-    stats = stash.put(with_statistics(docs, text, (lang, source)))
-    model = fit(stats, stash, lang, source)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    again = with_statistics(whole.select("__doc", F.col(f"__doc.`{text}`").alias("__text"), F.col(f"__doc.`{lang}`").alias("__l"), F.col(f"__doc.`{source}`").alias("__o")), "__text", ("__doc", "__l", "__o"))
-    return score(again, model, "__l", "__o").where("kept").select("__doc.*")
+    stats = stash.put(with_statistics(whole.select("__doc", F.col(f"__doc.`{text}`").alias("__text"), F.col(f"__doc.`{lang}`").alias("__l"), F.col(f"__doc.`{source}`").alias("__o")), "__text", ("__doc", "__l", "__o")))
+    model = fit(stats.drop("__doc"), stash, "__l", "__o")
+    stash.drop_others(stats, model)
+    return score(stats, model, "__l", "__o").where("kept").select("__doc.*")
+
+
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

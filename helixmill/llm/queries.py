@@ -53,6 +53,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed rules alone, which have a SQL twin."""
+    return quality.with_statistics(read(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed")
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.build(read(spark, sf_dir, "documents")).withColumnRenamed("keys", "doc_ids")
 
@@ -62,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op1_line_dedup_runs": line_dedup.RUNS_ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_jaccard_join": ngram_join.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op1_line_dedup_runs": line_dedup.RUNS_ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_jaccard_join": ngram_join.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_quality_rules_base": quality.BASE_ORACLE}
