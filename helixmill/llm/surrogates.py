@@ -167,23 +167,27 @@ def surrogate(kind: Column, norm: Column, gender: Column, counter: Column, secre
     key = F.lit(secret)
     n = F.length(norm)
     first = F.substring(norm, 1, 1)
-    tweak = F.concat_ws("|", key, kind, counter.cast("string"), F.when(kind == "ip", F.substring_index(norm, ".", 1)).otherwise(first))
 
-    def ip(low: Column) -> Column:
-        mixed = _network(F.shiftright(low, 12), low.bitwiseAND(F.lit(4095).cast("long")), F.lit(4096).cast("long"), F.lit(4096).cast("long"), tweak)
-        return _let(_let(mixed, lambda x: x["a"] * 4096 + x["b"]), lambda v: F.concat_ws(".", F.substring_index(norm, ".", 1), F.shiftright(v, 16).cast("string"), (F.shiftright(v, 8) % 256).cast("string"), (v % 256).cast("string")))
+    def card(body: Column) -> Column:
+        return F.concat(body, ((_luhn(norm) - _luhn(F.concat(body, F.lit("0"))) + 10) % 10).cast("string"))
+
+    def number(tweak: Column) -> Column:
+        rest = F.concat(first, _permuted(F.substring(norm, F.lit(2), F.when(kind == "card", n - 2).otherwise(n)), tweak))
+        return _let(rest, lambda r: F.when(kind == "card", card(r)).otherwise(r))
 
-    octets = F.split(norm, r"\.", -1)
-    low = F.aggregate(F.slice(octets, 2, 3), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
-    body = F.concat(first, _permuted(F.substring(norm, F.lit(2), n - 2), tweak))
-    card = _let(body, lambda b: F.concat(b, ((_luhn(norm) - _luhn(F.concat(b, F.lit("0"))) + 10) % 10).cast("string")))
+    def ip(tweak: Column) -> Column:
+        low = F.aggregate(F.slice(F.split(norm, r"\.", -1), 2, 3), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
+        half = F.lit(4096).cast("long")
+        mixed = _let(low, lambda v: _network(F.shiftright(v, 12), v.bitwiseAND(F.lit(4095).cast("long")), half, half, tweak))
+        return _let(_let(mixed, lambda x: x["a"] * 4096 + x["b"]), lambda v: F.concat_ws(".", F.substring_index(norm, ".", 1), F.shiftright(v, 16).cast("string"), (F.shiftright(v, 8) % 256).cast("string"), (v % 256).cast("string")))
 
     def hashed(h: Column) -> Column:
         ip6 = F.concat_ws(":", F.substring_index(norm, ":", 1), F.lit(""), *[F.substring(h, 1 + 4 * i, 4) for i in range(4)])
         return F.when(kind == "email", _email(norm, h, counter, key)).when(kind == "ip6", ip6).when(kind == "given", _name(norm, gender, h, counter + 3, True)).otherwise(_name(norm, gender, h, counter + 4, False))
 
-    rest = F.concat(first, _permuted(F.substring(norm, F.lit(2), n), tweak))
-    return F.when(kind.isin("phone", "ssn"), rest).when(kind == "card", card).when(kind == "ip", _let(low, ip)).otherwise(_let(_digest(key, kind, norm, counter.cast("string")), hashed))
+    fixed = F.when(kind == "ip", F.substring_index(norm, ".", 1)).otherwise(first)
+    tweak = F.concat_ws("|", key, kind, counter.cast("string"), fixed)
+    return F.when(kind.isin("phone", "ssn", "card"), _let(tweak, number)).when(kind == "ip", _let(tweak, ip)).otherwise(_let(_digest(key, kind, norm, counter.cast("string")), hashed))
 
 
 def _kind(m: Column) -> Column:
@@ -283,8 +287,8 @@ def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: st
 
     def one(x: Column) -> Column:
         def made(v: Column) -> Column:
-            s = surrogate(x["kind"], x["norm"], F.coalesce(v["gender"], x["gender"]), F.coalesce(v["counter"], F.lit(0)), secret)
-            return F.struct(x["kind"].alias("kind"), x["norm"].alias("norm"), x["word"].alias("word"), s.alias("s"), _written(x["word"], s, x["kind"]).alias("new"))
+            of = surrogate(x["kind"], x["norm"], F.coalesce(v["gender"], x["gender"]), F.coalesce(v["counter"], F.lit(0)), secret)
+            return _let(of, lambda s: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm"), x["word"].alias("word"), s.alias("s"), _written(x["word"], s, x["kind"]).alias("new")))
 
         return _let(F.element_at(F.col("odd"), F.concat_ws("|", x["kind"], x["norm"])), made)
 
