@@ -2,27 +2,31 @@
 
 The lines of a document (split at ``\\n``) are a sequence of line IDs; suffixes
 start at every line.  Ranks of suffixes by their first h lines are doubled:
-Spark sorts the pairs (rank of the suffix, rank of the one h lines on), equal
-pairs get one rank, and suffixes with a rank of their own drop out.  Suffixes
-that share their rank at length h are the longest-common-prefix interval of
-depth h or more; at ``min_lines`` the last offset is cut so that prefixes of
-exactly that many lines are compared.  In each such interval the suffix that
-starts first (smaller document, or same document and earlier line) stays and
-the first ``min_lines`` lines of all others are deleted.  Neighbouring deletions
-join to the maximal repeated runs.
+Spark pairs the rank of a suffix with that of the one h lines on, equal pairs
+get one rank, and suffixes with a rank of their own drop out.  This goes on
+until all are unique or h is past the longest window that is asked for.
+
+A window is a shortest run of lines with ``min_chars`` characters, from each
+line on and up to each line.  Its rank is that of the pair of power-of-two
+prefixes that cover it (at its start, and up to its end).  Windows of one rank
+and length are the longest-common-prefix interval of that depth: in each, the
+one that starts first (smaller document, or same document and earlier line)
+stays, and the lines of all others are deleted.  Overlapping and touching
+windows join to the maximal repeated runs of one line or more: a line goes if
+and only if some run of lines around it with ``min_chars`` characters or more
+also starts earlier.  :func:`intervals` returns the intervals themselves.
+
+Ranks that many suffixes share (one line in a third of all documents) are split
+off: those with over a ``HOT``-th of all rows are fewer than ``HOT``, are
+broadcast for that, and their rows never meet in one task.
 
 Edge cases: null text counts as empty (one empty line); a line counts with its
-exact characters, blank ones too; documents of fewer than ``min_lines`` lines
-lose nothing; runs with fewer than ``min_chars`` characters in their lines
-stay; a null key comes first; rows that share a key are ordered by text,
-identical ones count as one document and are returned each; other columns are
-ignored.  Line IDs and ranks are pairs of 64-bit hashes, checked by nothing
-else: at 2^40 different lines a false match has a chance of about 2^-48.
-
-``dedup_runs`` has no least number of lines: each run of one line or more and
-``min_chars`` characters that also starts earlier goes.  A run is the union of
-its shortest parts of ``min_chars`` characters, from each line on and up to
-each line, so only these at most two windows a line are ranked.
+exact characters, blank ones too; documents of fewer than ``min_chars``
+characters lose nothing; a null key comes first; rows that share a key are
+ordered by text, identical ones count as one document and are returned each;
+very long texts are handled whole; other columns are ignored.  Line IDs and
+ranks are pairs of 64-bit hashes, checked by nothing else: at 2^40 different
+lines a false match has a chance of about 2^-48.
 """
 
 from __future__ import annotations
@@ -35,104 +39,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import Stash
-from helixmill.llm.grams import Rolling
-from helixmill.llm.suffix_dedup import with_tie
+from helixmill.llm.suffix_dedup import repeats_keys, with_tie
 
-MIN_LINES = 3
 MIN_CHARS = 80
+HOT = 1000
+RANK = ["r1", "r2"]
 
 
-def repeated_suffixes(ranks: DataFrame, stash: Stash, depth: int) -> DataFrame:
-    """Prefix doubling of ``doc, tie, pos, r1, r2`` (rank by one line) up to ``depth`` lines.
-
-    Returns ``doc, tie, pos`` of the suffixes whose first ``depth`` lines also
-    start earlier.  Classes are counted and named by sums that combine before
-    the shuffle, so a hot class is never gathered.
-    """
-    rank, h = ["r1", "r2"], 1
-    while True:
-        shared = ranks.groupBy(*rank).count().where("count > 1").select(*rank)
-        live = stash.put(ranks.join(shared, rank).select("doc", "tie", "pos", *rank))
-        if h >= depth:
-            first = live.groupBy(*rank).agg(F.min(F.struct("doc", "tie", "pos")).alias("first"))
-            return live.join(first, rank).where(F.struct("doc", "tie", "pos") != F.col("first")).select("doc", "tie", "pos")
-        step = min(h, depth - h)
-        ahead = live.select(F.col("doc").alias("d"), F.col("tie").alias("t"), (F.col("pos") - step).alias("p"), F.col("r1").alias("n1"), F.col("r2").alias("n2"))
-        pairs = live.join(ahead, live["doc"].eqNullSafe(ahead["d"]) & (live["tie"] == ahead["t"]) & (live["pos"] == ahead["p"]))
-        ranks = pairs.select("doc", "tie", "pos", F.xxhash64("r1", "n1", F.lit(h)).alias("r1"), F.xxhash64(F.lit(h), "n2", "r2").alias("r2"))
-        h += step
-
-
-def deleted_lines(docs: DataFrame, stash: Stash, key: str, text: str, min_lines: int) -> DataFrame:
-    """``doc, tie, gone``: the line numbers (from 0) to delete."""
-    lines = docs.select(F.col(f"`{key}`").alias("doc"), F.col("__tie").alias("tie"), F.posexplode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)).alias("pos", "line"))
-    ids = lines.select("doc", "tie", "pos", F.xxhash64("line").alias("r1"), F.xxhash64(F.lit(1), "line").alias("r2"))
-    again = repeated_suffixes(ids, stash, min_lines).select("doc", "tie", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("line"))
-    return again.groupBy("doc", "tie").agg(F.array_sort(F.collect_set("line")).alias("gone"))
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document: key, ``n_lines, n_deleted, n_runs`` and the ``kept`` text."""
-    stash = Stash(docs.sparkSession)
-    tied = with_tie(docs.select(key, text), key, text)
-    gone = stash.put(deleted_lines(tied, stash, key, text, min_lines))
-    stash.drop_others(gone)
-    j = tied.join(gone, tied[key].eqNullSafe(gone["doc"]) & (tied["__tie"] == gone["tie"]), "left").select(tied[key], F.split(F.coalesce(tied[text], F.lit("")), "\n", -1).alias("ls"), "gone")
-    runs = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
-    # a run goes only when its lines have enough characters
-    ends = F.filter("gone", lambda x, i: (i == F.size("gone") - 1) | (F.get("gone", i + 1) != x + 1))
-    spans = F.arrays_zip(runs.alias("s"), ends.alias("e"))
-    long_ = F.filter(spans, lambda x: F.aggregate(F.slice("ls", x["s"] + 1, x["e"] - x["s"] + 1), F.lit(0), lambda n, t: n + F.length(t)) >= min_chars)
-    j = j.select(key, "ls", F.coalesce(F.when(F.col("gone").isNotNull(), long_), F.array().cast("array<struct<s:int,e:int>>")).alias("runs"))
-    dead = F.flatten(F.transform("runs", lambda x: F.sequence(x["s"], x["e"])))
-    j = j.select(key, "ls", "runs", dead.alias("dead"))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "dead")
-    kept = F.when(F.size("dead") == 0, F.array_join("ls", "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("ls", i)), "\n"))
-    return j.select(key, F.size("ls").cast("long").alias("n_lines"), F.size("dead").cast("long").alias("n_deleted"), F.size("runs").cast("long").alias("n_runs"), kept.alias("kept"))
+def _classes(rows: DataFrame, stash: Stash, *aggs) -> tuple[DataFrame, DataFrame]:
+    """Ranks that two rows or more share, with ``n`` and ``aggs``: the common and the hot ones."""
+    shared = stash.put(rows.groupBy(*RANK).agg(F.count("*").alias("n"), *aggs).where("n > 1"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    return shared.where(F.col("n") <= total / HOT), shared.where(F.col("n") > total / HOT)
+
+
+def _with_class(rows: DataFrame, classes: tuple[DataFrame, DataFrame], *cols: str) -> DataFrame:
+    """Rows of shared ranks with columns of their class; rows of hot ranks aren't shuffled."""
+    common, hot = (c.select(*RANK, *cols) for c in classes)
+    hot = F.broadcast(hot)  # fewer than HOT rows
+    return rows.join(hot.select(*RANK), RANK, "left_anti").join(common, RANK).unionByName(rows.join(hot, RANK))
 
 
 def _windows(min_chars: int):
-    """Shortest windows of lines with ``min_chars`` characters from each line on and up to each line, with two hashes."""
+    """Shortest windows of lines with ``min_chars`` characters from each line on and up to each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = Rolling(3), Rolling(7)
         for batch in batches:
-            row, spans, ranks = [], [], []
+            row, spans = [], []
             for i, text in enumerate(batch.column(2)):
                 lines = (text.as_py() or "").split("\n")
                 n = len(lines)
                 chars = np.cumsum([0, *map(len, lines)])
-                at = np.cumsum([0, *(len(x.encode()) + 1 for x in lines)])
-                on = np.searchsorted(chars, chars[:-1] + min_chars)  # one past the last line
-                on = np.maximum(on, np.arange(n) + 1)
+                if chars[-1] < min_chars:
+                    continue
+                on = np.maximum(np.searchsorted(chars, chars[:-1] + min_chars), np.arange(n) + 1)  # one past the last line
                 to = np.minimum(np.searchsorted(chars, chars[1:] - min_chars, "right") - 1, np.arange(n))
-                forth = np.stack([np.arange(n), on], 1)[on <= n]
-                back = np.stack([to, np.arange(n) + 1], 1)[to >= 0]
-                w = np.unique(np.concatenate([forth, back]), axis=0)
-                data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+                w = np.unique(np.concatenate([np.stack([np.arange(n), on], 1)[on <= n], np.stack([to, np.arange(n) + 1], 1)[to >= 0]]), axis=0)
                 row.append(np.full(len(w), i))
                 spans.append(w)
-                ranks.append(np.stack([h.slices(h.prefix(data), at[w[:, 0]], at[w[:, 1]] - 1) for h in (a, b)], 1).view(np.int64))
-            if not row:
-                continue
-            r, w, h = pa.array(np.concatenate(row)), np.concatenate(spans).astype(np.int32), np.concatenate(ranks)
-            cols = [batch.column(0).take(r), batch.column(1).take(r), *(pa.array(np.ascontiguousarray(x)) for x in (w[:, 0], w[:, 1], h[:, 0], h[:, 1]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "tie", "s", "e", "r1", "r2"])
+            if row:
+                r, w = pa.array(np.concatenate(row)), np.concatenate(spans).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(r), batch.column(1).take(r), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], names=["doc", "tie", "s", "e"])
 
     return run
 
 
-def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """As :func:`dedup`, for repeated runs of any number of lines."""
+def _at(ranks: DataFrame, name: str, shift: int = 0) -> DataFrame:
+    """Ranks by ``doc, tie`` and place under names of their own."""
+    return ranks.select(F.col("doc").alias(f"{name}d"), F.col("tie").alias(f"{name}t"), (F.col("pos") + shift).alias(f"{name}p"), F.col("r1").alias(f"{name}1"), F.col("r2").alias(f"{name}2"))
+
+
+def _meets(rows: DataFrame, place: str, other: DataFrame, name: str) -> DataFrame:
+    return rows.join(other, rows["doc"].eqNullSafe(other[f"{name}d"]) & (rows["tie"] == other[f"{name}t"]) & (rows[place] == other[f"{name}p"]))
+
+
+def ranked_windows(tied: DataFrame, stash: Stash, key: str, text: str, min_chars: int) -> DataFrame:
+    """``doc, tie, s, e, r1, r2``: windows that may recur, with their rank among those of the same length."""
+    kind = tied.schema[key].dataType.simpleString()
+    src = tied.select(F.col(f"`{key}`").alias("doc"), F.col("__tie").alias("tie"), F.col(f"`{text}`").alias("text"))
+    if repeats_keys(tied, key):
+        src = src.dropDuplicates(["doc", "tie"])  # rows alike in both have the same text
+    windows = stash.put(src.mapInArrow(_windows(min_chars), f"doc {kind}, tie int, s int, e int"))
+    lines = src.select("doc", "tie", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    ranks = stash.put(lines.select("doc", "tie", "pos", F.xxhash64("line").alias("r1"), F.xxhash64(F.lit(1), "line").alias("r2")))
+    longest = windows.agg(F.coalesce(F.max(F.col("e") - F.col("s")), F.lit(0)).alias("n")).first()["n"]
+    found, h = None, 1
+    while h <= longest:
+        live = stash.put(_with_class(ranks, _classes(ranks, stash), "n").drop("n"))
+        stash.drop(ranks)
+        size = F.col("e") - F.col("s")
+        here = windows.where((size >= h) & (size < 2 * h))
+        both = _meets(_meets(here, "s", _at(live, "x"), "x"), "e", _at(live, "y", h), "y")
+        part = stash.put(both.select("doc", "tie", "s", "e", F.xxhash64("x1", "y1", size).alias("r1"), F.xxhash64(size, "y2", "x2").alias("r2")))
+        found = part if found is None else found.unionByName(part)
+        pairs = _meets(live, "pos", _at(live, "z", -h), "z")
+        ranks = stash.put(pairs.select("doc", "tie", "pos", F.xxhash64("r1", "z1").alias("r1"), F.xxhash64("z2", "r2").alias("r2")))
+        stash.drop(live)
+        if not ranks.limit(1).count():
+            break
+        h *= 2
+    return found if found is not None else windows.select("*", F.lit(0).cast("long").alias("r1"), F.lit(0).cast("long").alias("r2")).limit(0)
+
+
+def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """Longest-common-prefix intervals: ``depth`` in lines, ``copies``, and ``first_doc, first_line`` where they start first."""
+    stash = Stash(docs.sparkSession)
+    w = ranked_windows(with_tie(docs.select(key, text), key, text), stash, key, text, min_chars)
+    place = F.min(F.struct("doc", "tie", "s")).alias("first")
+    out = w.groupBy(*RANK).agg(F.count("*").alias("copies"), (F.max(F.col("e") - F.col("s"))).alias("depth"), place).where("copies > 1")
+    return out.select("depth", "copies", F.col("first.doc").alias("first_doc"), F.col("first.s").alias("first_line"))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per document: key, ``n_lines, n_deleted, n_runs`` and the ``kept`` text."""
     stash = Stash(docs.sparkSession)
     tied = with_tie(docs.select(key, text), key, text)
-    kind = docs.schema[key].dataType.simpleString()
-    windows = tied.select(F.col(key).alias("doc"), F.col("__tie").alias("tie"), F.col(text).alias("text")).mapInArrow(_windows(min_chars), f"doc {kind}, tie int, s int, e int, r1 long, r2 long")
+    windows = ranked_windows(tied, stash, key, text, min_chars)
     place = F.struct("doc", "tie", "s")
-    first = windows.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = windows.join(first, ["r1", "r2"]).where(place != F.col("first"))
-    lines = again.groupBy("doc", "tie").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    gone = stash.put(lines.select("doc", "tie", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))).alias("gone")))
+    again = _with_class(windows, _classes(windows, stash, F.min(place).alias("first")), "first").where(place != F.col("first"))
+    spans = again.groupBy("doc", "tie").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    gone = stash.put(spans.select("doc", "tie", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))).alias("gone")))
     stash.drop_others(gone)
     none = F.array().cast("array<int>")
     j = tied.join(gone, tied[key].eqNullSafe(gone["doc"]) & (tied["__tie"] == gone["tie"]), "left").select(tied[key], F.split(F.coalesce(tied[text], F.lit("")), "\n", -1).alias("ls"), F.coalesce("gone", none).alias("gone"))
@@ -144,21 +150,6 @@ def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, i, ls[i:i + {MIN_LINES - 1}] AS k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - {MIN_LINES - 2})) AS i FROM d WHERE len(ls) >= {MIN_LINES})),
-a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {MIN_LINES})) AS i FROM a),
-n AS (SELECT g.doc_id, g.i, len(ls[g.i]) AS chars, g.i - row_number() OVER (PARTITION BY g.doc_id ORDER BY g.i) AS run FROM g JOIN d USING (doc_id)),
-t AS (SELECT doc_id, run FROM n GROUP BY doc_id, run HAVING sum(chars) >= {MIN_CHARS}),
-x AS (SELECT n.doc_id, n.i, n.run FROM n JOIN t USING (doc_id, run)),
-s AS (SELECT doc_id, count(*) AS gone, count(DISTINCT run) AS runs, list(i) AS dead FROM x GROUP BY doc_id)
-SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_deleted, coalesce(runs, 0)::BIGINT AS n_runs,
-    sha256(CASE WHEN dead IS NULL THEN array_to_string(ls, chr(10)) ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(dead, i)), lambda i: ls[i]), chr(10)), '') END) AS kept_sha256
-FROM d LEFT JOIN s USING (doc_id)
-"""
-
-
-RUNS_ORACLE = f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 p AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
 c AS (SELECT doc_id, i, coalesce(sum(len(line)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(len(line)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
 w AS (SELECT x.doc_id, x.i AS s, min(y.i) AS e FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.b - x.a >= {MIN_CHARS} GROUP BY ALL

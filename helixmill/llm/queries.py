@@ -16,11 +16,6 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op1_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_runs(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
-
-
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -67,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op1_line_dedup_runs": line_dedup.RUNS_ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_jaccard_join": ngram_join.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_quality_rules_base": quality.BASE_ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_jaccard_join": ngram_join.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_quality_rules_base": quality.BASE_ORACLE}

@@ -57,13 +57,16 @@ def _u(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def repeats_keys(docs: DataFrame, key: str) -> bool:
+    return bool(docs.groupBy(key).count().where("count > 1").limit(1).count())
+
+
 def with_tie(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Adds ``tie``: 0, or the place of the text among the texts of a repeated key.
 
     Repeated keys are looked for first, on the key column alone.
     """
-    again = docs.groupBy(key).count().where("count > 1").limit(1).count()
-    if not again:
+    if not repeats_keys(docs, key):
         return docs.withColumn("__tie", F.lit(0))
     w = Window.partitionBy(key).orderBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     return docs.withColumn("__tie", F.dense_rank().over(w) - 1)
