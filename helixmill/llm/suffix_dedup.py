@@ -25,8 +25,9 @@ still shared go on to the next length:
    string of ``length`` bytes.
 3. The marked ranges are united per document and cut out.
 
-Ranks are pairs of independent 64-bit hashes of the bytes, so they need no
-global numbering and a lost task is recomputed alone.
+Ranks are pairs of 64-bit hashes of the bytes (one of the k-gram and one of the
+reach for anchors, folded to one number inside a chunk; two of each string
+after), so they need no global numbering and a lost task is recomputed alone.
 
 Edge cases: a null text counts as empty; texts below ``length`` bytes lose
 nothing; a null ``doc_id`` comes before all others; rows that share a doc_id
@@ -79,6 +80,7 @@ def increasing(keys: pa.Array) -> bool:
 
 def _anchor_rows(length: int, k: int):
     w = length - k + 1
+    width = w - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Rolling()
@@ -89,9 +91,13 @@ def _anchor_rows(length: int, k: int):
                 r = np.repeat(row, [len(x) for x in pos])
                 s, o, p = np.concatenate(seeds), np.concatenate(reach), np.concatenate(pos)
                 if increasing(batch.column(0)):
-                    # rows stand in the order of documents: what comes again in this chunk is known as a repeat
+                    # rows stand in the order of documents: what comes again in this chunk is known as a repeat, but for
+                    # anchors of one document whose reach begins at the same byte, which are the same strings
                     first = np.zeros(len(p), bool)
-                    first[np.unique(mix(s) ^ o, return_index=True)[1]] = True
+                    kind, at = np.unique(mix(s) ^ o, return_index=True)
+                    first[at] = True
+                    lead = at[np.searchsorted(kind, mix(s) ^ o)]
+                    first |= (r == r[lead]) & (np.maximum(p - width, 0) == np.maximum(p[lead] - width, 0))
                     sure = ~first
                     # neighbouring repeats of a document become one range: reach holds its last anchor, the place is
                     # written as -1 - place, and the seed is a number of its own
@@ -204,7 +210,8 @@ def repeated_ranges(docs: DataFrame, stash: Stash, key: str = "doc_id", text: st
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("doc"), F.col("__tie").alias("tie"), F.col(text).alias("text"))
     rows = src.mapInArrow(_anchor_rows(length, k), f"seed long, reach long, doc {kind}, tie int, pos int")
-    same = Window.partitionBy("seed", "reach").orderBy("doc", "tie", "pos")
+    # anchors are ordered by where their reach begins; those of one document that begin alike are one
+    same = Window.partitionBy("seed", "reach").orderBy("doc", "tie", F.greatest(F.col("pos") - width, F.lit(0)))
     seed = Window.partitionBy("seed")
     first = stash.put(
         rows.repartition("seed")

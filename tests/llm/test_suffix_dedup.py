@@ -50,3 +50,17 @@ def test_repeated_rows_and_empty(spark):
     got = suffix_dedup.remove(spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 300)]
     assert suffix_dedup.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_production_lengths(spark):
+    """Strings of 100 bytes: periodic texts of 100 to 149 bytes, copies, passages and a long text against brute force."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    shared = [prose(n) for n in (14, 18, 25, 60)]
+    rows = [(0, "a" * 120, ""), (1, "spam " * 24, ""), (2, "xyz" * 45, ""), (3, "a" * 149, ""), (4, "spam " * 20, ""), (5, "ab" * 70, "")]
+    for i in range(6, 50):
+        rows.append((i, " ".join([prose(rnd.randint(0, 40)), rnd.choice(shared), prose(rnd.randint(0, 40))]) if i % 4 else rnd.choice(rows)[1], ""))
+    rows += [(60, prose(6000) + shared[3] + prose(500), ""), (61, shared[0][:99], ""), (62, shared[3][:100], "")]
+    rnd.shuffle(rows)
+    assert run(spark, rows) == brute([r[:2] for r in rows], 100)
