@@ -49,7 +49,8 @@ PERCENT = 75
 T = 32
 MAX_HEAVY = 1_000_000
 CHUNK = 200_000
-BUCKET_BITS = 12
+#: Bytes of text for each bucket in which shingles are counted; a bucket is held by one task.
+BUCKET_BYTES = 1 << 24
 BITS = 1024
 MAX_BITS = 1 << 18
 #: Members of a star that one task verifies against its centre.
@@ -104,14 +105,14 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _count_rows(n: int):
+def _count_rows(n: int, bits: int):
     """Per task: shingles by bucket, each once with its count, as packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, held, size = Rolling(), [], 0
 
         def flush() -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(held) >> np.uint64(64 - 32 - BUCKET_BITS), return_counts=True)
+            v, c = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
             held.clear()
             bucket = (v >> np.uint64(32)).astype(np.int32)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -161,9 +162,16 @@ def _heavy_rows(least: int):
     return run
 
 
-def heavy_shingles(texts: DataFrame, stash: Stash, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted heavy shingles (their first 44 bits) and the log2 of their counts; at most ``MAX_HEAVY``."""
-    rows = texts.mapInArrow(_count_rows(n), "bucket int, values binary, counts binary")
+def bucket_bits(texts: DataFrame) -> int:
+    """Log of the number of buckets, by the bytes of text: 12 at least and 31 at most."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return min(31, max(12, (size // BUCKET_BYTES).bit_length()))
+
+
+def heavy_shingles(texts: DataFrame, stash: Stash, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted heavy shingles (their first 32 bits after the bucket's), the log2 of their counts, and the bucket's bits; at most ``MAX_HEAVY``."""
+    bits = bucket_bits(texts)
+    rows = texts.mapInArrow(_count_rows(n, bits), "bucket int, values binary, counts binary")
     found = stash.put(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_heavy_rows(T), "shingle long, df long"))
     by_size = {r[0]: r[1] for r in found.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).count().collect()}  # at most 63 rows
     t, total = 0, sum(by_size.values())
@@ -174,14 +182,14 @@ def heavy_shingles(texts: DataFrame, stash: Stash, n: int) -> tuple[np.ndarray,
     stash.drop(found)
     h, df = got.column("shingle").to_numpy().astype(np.uint64), got.column("df").to_numpy()
     o = np.argsort(h)
-    return h[o], np.log2(df[o]).astype(np.uint8)
+    return h[o], np.log2(df[o]).astype(np.uint8), bits
 
 
-def ordered(s: np.ndarray, heavy: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, int]:
+def ordered(s: np.ndarray, heavy: np.ndarray, weight: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     """A set in the order that prefixes use: light first, heavy ones by count, then by hash; and how many are light."""
     if not len(heavy) or not len(s):
         return s, len(s)
-    short = s >> np.uint64(64 - 32 - BUCKET_BITS)
+    short = s >> np.uint64(32 - bits)
     i = np.minimum(np.searchsorted(heavy, short), len(heavy) - 1)
     w = np.where(heavy[i] == short, weight[i], 0)
     return (s[np.lexsort((s, w))], int((w == 0).sum())) if w.any() else (s, len(s))
@@ -191,7 +199,7 @@ def _prefix_rows(shared, n: int, percent: int):
     """Rows of documents (``pos``: light shingles in the prefix) and of prefix shingles (``pos``: place, or -1 - place of a heavy one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, weight = shared.value
+        heavy, weight, bits_of = shared.value
         roll, seen = Rolling(), set()
         for batch in batches:
             doc, size, cid, gid, bits, light = [], [], [], [], [], []
@@ -227,7 +235,7 @@ def _prefix_rows(shared, n: int, percent: int):
                     bits.append(None)
                     light.append(0)
                     continue
-                p, n_light = ordered(s, heavy, weight)
+                p, n_light = ordered(s, heavy, weight, bits_of)
                 p = p[: len(s) - -(-len(s) * percent // 100) + 1]
                 n_light = min(n_light, len(p))
                 light.append(n_light)
@@ -364,12 +372,14 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """One row per document: its key, ``n_shingles`` and ``component_id``."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    t = F.col(f"`{text}`")
+    # a document is (no key, key, hash of the text): keyed ones come first, and rows without a key or with the same one stay apart
+    kind = f"struct<z:boolean,id:{docs.schema[key].dataType.simpleString()},th:bigint>"
+    src = docs.select(F.struct(F.col(f"`{key}`").isNull().alias("z"), F.col(f"`{key}`").alias("id"), F.xxhash64(t).alias("th")).alias("doc"), t.alias("text"))
     shared = spark.sparkContext.broadcast(heavy_shingles(src.select("text"), stash, n))
     schema = f"token long, gid long, size int, pos int, doc {kind}, cid long, bits binary"
     rows = src.mapInArrow(_prefix_rows(shared, n, percent), schema)
-    spread = F.coalesce(F.xxhash64("token"), F.xxhash64("doc", "cid"))
+    spread = F.when(F.col("token").isNull(), F.xxhash64("doc", "cid")).otherwise(F.xxhash64("token"))  # a hash of null is a number too
     mixed = stash.put(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions(F.col("token").asc_nulls_first()).mapInArrow(_shared_only, schema))
     members = stash.put(mixed.where("token is null").select("doc", "size", "cid", "gid"))
     classes = stash.put(mixed.where("token is null and cid is not null").groupBy("cid").agg(F.min("gid").alias("gid"), F.min("size").alias("size"), F.min("doc").alias("doc"), F.min("pos").alias("light"), F.min("bits").alias("bits")))
@@ -452,9 +462,9 @@ def _checked(pairs: DataFrame, classes: DataFrame, src: DataFrame, stash: Stash,
 def _named(members: DataFrame, roots: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """The least key of each component, given to all its documents."""
     of = classes.select("cid", "doc").join(roots, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "doc")
-    name = of.groupBy("root").agg(F.min("doc").alias("component"))
+    name = of.groupBy("root").agg(F.min("doc").getField("id").alias("component"))
     to = of.join(name, "root").select("cid", "component")
-    return members.join(to, "cid", "left").select(F.col("doc").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component_id"))
+    return members.join(to, "cid", "left").select(F.col("doc.id").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc.id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:

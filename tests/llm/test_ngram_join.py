@@ -52,12 +52,15 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,t,many", [(1, 32, 1_000_000), (2, 2, 1_000_000), (3, 2, 100)])
-def test_brute_force(spark, monkeypatch, seed, t, many):
+@pytest.mark.parametrize("seed,t,many,size,chunk", [(1, 32, 1_000_000, 1 << 24, 200_000), (2, 2, 1_000_000, 8, 200_000), (3, 2, 100, 1 << 24, 50)])
+def test_brute_force(spark, monkeypatch, seed, t, many, size, chunk):
+    """Few and many heavy shingles; buckets for few bytes each; texts of more shingles than a task holds at a time."""
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", size)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     monkeypatch.setattr(ngram_join, "T", t)
     monkeypatch.setattr(ngram_join, "MAX_HEAVY", many)
     rows = corpus(seed, 250)
-    rows += rows[20:25]
+    rows += rows[20:25] + [(None, t) for _, t in rows[30:60]]  # repeated rows, and many without a key
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, gid string")
     got = sorted((tuple(r) for r in ngram_join.linked_classes(df).collect()), key=str)
     assert got == brute(rows)
