@@ -24,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled documents that training may use, in whole and per language.
 SAMPLE = 1600
 SAMPLE_PER_LANGUAGE = 400
 #: Log of the number of n-gram features.
-BITS = 12
+BITS = 13
 EPOCHS = 12
 #: Families by ISO 639-1 code.
 FAMILIES = {
@@ -145,14 +145,17 @@ class Model:
 
 def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """Trains on ``key, text, lang``; None without labelled texts that have letters."""
-    labelled = rows.where("lang is not null and text is not null").select("lang", F.xxhash64("key", "text").alias("h"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    labelled = rows.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key", "text"))
+    counts = labelled.select("lang").distinct().limit(SAMPLE + 1).count()
     if not counts:
         return None
-    per_language = min(per_language, max(1, SAMPLE // len(counts)))
-    # a share of hashes that nearly always holds enough; the exact cut follows
-    share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.3 * per_language / v + 60 / v))) for k, v in sorted(counts.items())))
-    drawn = rows.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key", "text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    per_language = min(per_language, max(1, SAMPLE // counts))
+    # numbers only: the least hashes of each language, cut in each task before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))
+    least = labelled.select("lang", "h", F.pmod("h", F.lit(1 << 20)).alias("o")).withColumn("nth", nth).where(F.col("nth") <= per_language)
+    # languages beyond SAMPLE (no corpus has them) lose their draw by hash, so that the bound always holds
+    picked = least.select("lang", "h").distinct().orderBy("h").limit(SAMPLE) if counts > SAMPLE else least.select("lang", "h").distinct()
+    drawn = labelled.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,14 +168,8 @@ def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | Non
                     out[2].append(v.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["lang", "h", "v"])
 
-    got = sorted(drawn.select("lang", "text", "h").mapInArrow(vectors, "lang string, h long, v binary").collect(), key=lambda r: (r["lang"], r["h"] % (1 << 20), r["h"]))
-    seen: dict[str, int] = {}
-    labels, x = [], []
-    for r in got:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per_language:
-            labels.append(r["lang"])
-            x.append(np.frombuffer(r["v"], np.float32))
+    got = sorted(drawn.select("lang", "text", "h").mapInArrow(vectors, "lang string, h long, v binary").collect(), key=lambda r: (r["lang"], r["h"] % (1 << 20), r["h"]))  # SAMPLE rows at most
+    labels, x = [r["lang"] for r in got], [np.frombuffer(r["v"], np.float32) for r in got]
     return Model(np.array(x), labels) if labels else None
 
 

@@ -37,3 +37,21 @@ def test_few_labels(spark):
     one = spark.createDataFrame([(i, "abc", "fr") for i in range(9)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in langid.identify(one).collect()} == {("fr", 1.0)}
     assert langid.identify(one.limit(0)).count() == 0
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Many languages, one of them hot, and repeated rows: training never gathers more than the sample."""
+    taken = []
+    monkeypatch.setattr(langid, "Model", lambda x, labels: taken.append(labels))
+    rows = [(i, f"text of {i}", f"l{i % 200}" if i % 3 else "hot") for i in range(6000)] + [(7, "text of 7", "l7")] * 50
+    langid.fit(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert len(taken[0]) <= langid.SAMPLE and len(set(taken[0])) == 201 and max(map(taken[0].count, set(taken[0]))) == langid.SAMPLE // 201
+    monkeypatch.setattr(langid, "SAMPLE", 100)
+    langid.fit(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert len(taken[1]) == 100
+
+
+def test_ties_and_long_texts(spark):
+    rows = [(i, "der die das und nicht " * (3000 if i == 9 else 3), "de" if i % 2 else "nl") for i in range(60)] * 2
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 120 and len({(r.lang_pred, round(r.score, 6)) for r in got if r.doc_id != 9}) == 1
