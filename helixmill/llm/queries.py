@@ -36,6 +36,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op6_secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed patterns alone, which have a SQL twin."""
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), table=[0.0] * len(secrets.ALPHABET) ** 2)).drop("spans")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_classes(read(spark, sf_dir, "documents"))
 
@@ -62,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_jaccard_join": ngram_join.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_quality_rules_base": quality.BASE_ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_jaccard_join": ngram_join.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_secret_scan_base": secrets.BASE_ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_quality_rules_base": quality.BASE_ORACLE}
