@@ -106,34 +106,46 @@ def effective_tm(s: Column, na: float = 50.0, mg: float = 0.0, celsius: float =
     return tm_salt(s, na, mg) + additive_term(celsius, **amounts) + gc_equalisation(s, **amounts)
 
 
-# Terms of the second melting formula that older feature tables use.
+# The older melting formula: stacks; enthalpy and entropy of a G or C and of an A or T at an end.
 _VENDOR_H = ENTHALPY | {"AG": -7.8}
 _VENDOR_S = ENTROPY | {"AG": -21.0}
+VENDOR_ENDS = {"GC": (0.1, -2.8), "AT": (2.3, 4.1)}
+# Published salt correction of 1/Tm (units of 1e-5 per kelvin): monovalent terms, divalent terms a to g,
+# the monovalent modulation of a, d and g, the regimes of sqrt([Mg])/[Na], and the binding constant of Mg and dNTP.
+MONOVALENT_TERMS = (4.29, -3.95, 0.94)
+DIVALENT_TERMS = {"a": 3.92, "b": -0.911, "c": 6.26, "d": 1.42, "e": -48.2, "f": 52.5, "g": 8.31}
+MODULATION = {"a": lambda na, x: 0.843 - 0.352 * na**0.5 * x, "d": lambda na, x: 1.279 - 4.03e-3 * x - 8.03e-3 * x**2, "g": lambda na, x: 0.486 - 0.258 * x + 5.25e-3 * x**3}
+REGIMES = (0.22, 6.0)
+MG_DNTP = 3e4
+
+
+def salt_polynomial(na: float, mg: float, dntp: float) -> tuple[float, float, float]:
+    """Coefficients of ``1``, the GC share and ``1 / (2 (n - 1))`` in the correction of 1/Tm, for molar concentrations."""
+    # free Mg solves ka x^2 + (ka (dntp - mg) + 1) x - mg = 0
+    half = (MG_DNTP * (dntp - mg) + 1) / (2 * MG_DNTP)
+    free = math.sqrt(half * half + mg / MG_DNTP) - half
+    share = math.sqrt(free) / na if na > 0 else math.inf
+    if share < REGIMES[0]:
+        x = math.log(na)
+        per_gc, fixed, square = MONOVALENT_TERMS
+        return fixed * x + square * x * x, per_gc * x, 0.0
+    t = dict(DIVALENT_TERMS)
+    if share < REGIMES[1]:
+        t |= {k: t[k] * f(na, math.log(na)) for k, f in MODULATION.items()}
+    y = math.log(mg)
+    return t["a"] + t["b"] * y, t["c"] + t["d"] * y, t["e"] + t["f"] * y + t["g"] * y * y
 
 
 def vendored_tm(s: Column, dna: float = 5000.0, na: float = 10.0, mg: float = 20.0, dntp: float = 10.0) -> Column:
-    """Melting point with divalent correction as older tables have it: GC share taken as 1/n, never below 0."""
-    n = F.length(s)
-    first, last = F.substring(s, 1, 1), F.right(s, F.lit(1))
-    gc_ends = first.isin("G", "C").cast("int") + last.isin("G", "C").cast("int")
-    at_ends = 2 - gc_ends
-    h = 0.1 * gc_ends + 2.3 * at_ends + _stacks(s, _VENDOR_H, 0.0)
-    e = -2.8 * gc_ends + 4.1 * at_ends + F.when(is_palindrome(s), -1.4).otherwise(0.0) + _stacks(s, _VENDOR_S, 0.0)
-    fgc = 1.0 / n
-    kelvin = 1000 * h / (e + 1.987 * math.log(dna * 1e-9))
-    m_na, m_mg, m_dntp, ka = na * 1e-3, mg * 1e-3, dntp * 1e-3, 3e4
-    b = ka * m_dntp - ka * m_mg + 1
-    free = (-b + math.sqrt(b * b + 4 * ka * m_mg)) / (2 * ka)
-    ratio = math.sqrt(free) / m_na if m_na > 0 else 7.0
-    if ratio < 0.22:
-        term = (4.29 * fgc - 3.95) * math.log(m_na) + 0.94 * math.log(m_na) ** 2
-    else:
-        a, d, g = 3.92, 1.42, 8.31
-        if ratio < 6.0:
-            x = math.log(m_na)
-            a *= 0.843 - 0.352 * math.sqrt(m_na) * x
-            d *= 1.279 - 4.03e-3 * x - 8.03e-3 * x * x
-            g *= 0.486 - 0.258 * x + 5.25e-3 * x**3
-        y = math.log(m_mg)
-        term = (a - 0.911 * y) + fgc * (6.26 + d * y) + (-48.2 + 52.5 * y + g * y * y) / (2 * (n - 1))
-    return F.greatest(1 / (1 / kelvin + term * 1e-5) - KELVIN, F.lit(0.0))
+    """Melting point with divalent salt as older feature tables have it (nM of DNA, mM of salts).
+
+    These tables take the GC share as ``1 / n``; values below 0 become 0.
+    """
+    ends = [F.substring(s, 1, 1), F.right(s, F.lit(1))]
+    end = lambda i: sum((F.when(e.isin("G", "C"), VENDOR_ENDS["GC"][i]).otherwise(VENDOR_ENDS["AT"][i]) for e in ends), F.lit(0.0))
+    dh = end(0) + _stacks(s, _VENDOR_H, 0.0)
+    ds = end(1) + _stacks(s, _VENDOR_S, 0.0) + F.when(is_palindrome(s), SYMMETRY_S).otherwise(0.0)
+    inverse = (ds + R * math.log(dna / 1e9)) / (1000 * dh)
+    one, gc, ends_apart = salt_polynomial(na / 1000, mg / 1000, dntp / 1000)
+    shift = 1e-5 * (one + gc / F.length(s) + ends_apart / (2 * (F.length(s) - 1)))
+    return F.greatest(F.lit(0.0), 1 / (inverse + shift) - KELVIN)

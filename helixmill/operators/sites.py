@@ -121,10 +121,14 @@ def alternation(sites: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_opposite(sites: DataFrame, keys: list[str]) -> DataFrame:
-    """Distance of each forward site to the nearest reverse site, in one sort and no join."""
-    w = Window.partitionBy(*keys).orderBy("pos")
+    """Distance of each forward site to the nearest reverse site, in two sorts (forth and back) and no join.
+
+    Both frames grow from their start, so each row is looked at once; a frame
+    that ends at the last row would be gone through again for every row.
+    """
+    forth, back = (Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
     rev = F.when(F.col("strand") == "-", F.col("pos"))
-    s = sites.select(*keys, "pos", "strand", "site", F.max(rev).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("left"), F.min(rev).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("right"))
+    s = sites.select(*keys, "pos", "strand", "site", F.max(rev).over(forth).alias("left")).withColumn("right", F.min(rev).over(back))
     d = F.least(F.col("pos") - F.col("left"), F.col("right") - F.col("pos"))
     return s.where("strand = '+'").select(*keys, "site", "pos", d.alias("distance"))
 
@@ -134,13 +138,18 @@ def components(sites: DataFrame, keys: list[str], reach: int) -> DataFrame:
 
     They are runs in order of position: a run ends where neither the last
     reverse site before and the first forward site after nor the other pair lie
-    within reach.  So two windows replace the edges.
+    within reach.  So windows forth and back, whose frames grow from their
+    start, replace the edges.
     """
-    w = Window.partitionBy(*keys).orderBy("pos", "strand", "site")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    order = ("pos", "strand", "site")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0)
     of = lambda strand: F.when(F.col("strand") == strand, F.col("pos"))
-    tied = ((F.min(of("+")).over(after) - F.max(of("-")).over(before)) <= reach) | ((F.min(of("-")).over(after) - F.max(of("+")).over(before)) <= reach)
-    s = sites.select(*keys, "site", "pos", "strand", F.when(F.coalesce(tied, F.lit(False)), 0).otherwise(1).alias("new"))
+    s = sites.select(*keys, *order, F.min(of("+")).over(after).alias("next_f"), F.min(of("-")).over(after).alias("next_r"))
+    s = s.select(*keys, *order, "next_f", "next_r", F.max(of("+")).over(before).alias("last_f"), F.max(of("-")).over(before).alias("last_r"))
+    tied = ((F.col("next_f") - F.col("last_r")) <= reach) | ((F.col("next_r") - F.col("last_f")) <= reach)
+    s = s.select(*keys, "site", "pos", "strand", F.when(F.coalesce(tied, F.lit(False)), 0).otherwise(1).alias("new"))
     return s.withColumn("component", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
