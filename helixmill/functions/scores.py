@@ -67,6 +67,34 @@ def gc_class(gc: Column) -> Column:
     return F.when(gc < 0.25, "extreme_at").when(gc < 0.4, "at_rich").when(gc < 0.6, "balanced").when(gc < 0.7, "gc_rich").otherwise("extreme_gc")
 
 
+def softmax(values: Column) -> Column:
+    """Array of shares ``exp(x) / sum(exp(x))`` of an array of numbers; the greatest is taken off first."""
+    raised = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
+    return F.transform(F.array(raised), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))[0]
+
+
+def scaled_histogram(counts: Column, length: Column, unit: float = 6200.0) -> Column:
+    """An energy histogram per genome length, in units of the length that the scores were fitted on."""
+    return F.transform(counts, lambda x: x / (length / unit))
+
+
+def tm_efficiency(tm: Column, celsius: float) -> Column:
+    """Share of binding by distance from five degrees above the reaction's temperature, 0.1 at least."""
+    return F.greatest(F.lit(0.1), F.exp(-0.1 * F.pow(tm - (celsius + 5), F.lit(2))))
+
+
+def fold_interval(sites: Column, largest: Column, gini: Column) -> Column:
+    """Fold of the largest component with its 95 % interval, log-normal: ``fold, lower, upper``.
+
+    It widens with few sites, uneven sites and a small component.
+    """
+    f = fold(largest)
+    spread = 1.96 * (0.2 + 1 / F.sqrt(F.greatest(sites, F.lit(1))) + gini / 2 + 0.3 * F.greatest(F.lit(0.0), 1 - largest / 100))
+    known = F.struct(f.alias("fold"), F.greatest(F.lit(1.0), F.exp(F.log(f) * (1 - spread))).alias("lower"), F.least(F.lit(2.0**20), F.exp(F.log(f) * (1 + spread))).alias("upper"))
+    one = F.lit(1.0)
+    return F.when(f <= 1, F.struct(one.alias("fold"), one.alias("lower"), one.alias("upper"))).otherwise(known)
+
+
 def fold(sites: Column) -> Column:
     """Predicted amplification fold of a component."""
     return F.when(sites < 10, 5.0 * sites).otherwise(F.pow(F.lit(2.0), F.least(sites / 10, F.lit(20.0))))

@@ -92,3 +92,9 @@ def ranked(df: DataFrame, most: int) -> DataFrame:
     """Least background-to-foreground ratio first, ties by k-mer; a zero foreground counts as infinite."""
     ratio = F.when(F.col("fg_count") > 0, F.col("bg_count") / F.col("fg_count")).otherwise(F.lit(float("inf")))
     return df.withColumn("ratio", ratio).orderBy("ratio", "kmer").limit(most)
+
+
+def lookup(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``asked, n``: the count of each string under its canonical form; 0 if it is not there."""
+    n = counts.groupBy("kmer").agg(F.sum("n").alias("n"))
+    return asked.withColumn("kmer", seq.canonical(F.col("asked"))).join(n, "kmer", "left").select("asked", F.coalesce("n", F.lit(0)).alias("n"))

@@ -387,4 +387,4 @@ def threshold_or_median(spark, d):
     return s.join(F.broadcast(m)).where(F.col("score") >= F.when(F.col("x") >= 19, 19).otherwise(F.col("m"))).select("primer", "score")
 
 
-from helixmill.plans import more_queries, set_queries  # noqa: E402,F401  they register their queries
+from helixmill.plans import more_queries, network_queries, set_queries  # noqa: E402,F401  they register their queries
