@@ -75,10 +75,11 @@ def shares_substring(a: Column, b: Column, length: int) -> Column:
 
 def longest_common_substring(a: Column, b: Column, most: int = 18) -> Column:
     """Length of the longest common substring, up to ``most``."""
-    out = F.lit(0)
-    for t in range(1, most + 1):
-        out = F.when(shares_substring(a, b, t), F.lit(t)).otherwise(out)
-    return out
+    # a common substring holds shorter ones, so lengths are tried upwards and the first that fails ends it
+    out = F.when(~shares_substring(a, b, 1), 0)
+    for t in range(2, most + 1):
+        out = out.when(~shares_substring(a, b, t), t - 1)
+    return out.otherwise(most)
 
 
 def is_dimer(a: Column, b: Column, most: int) -> Column:

@@ -29,19 +29,26 @@ def chunks(seqs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     return cut.withColumn("seq", F.substring(F.col("seq"), F.col("start") + 1, F.lit(size + overlap)))
 
 
-def windows(seqs: DataFrame, ks: list[int]) -> DataFrame:
-    """``genome, role, k, pos, kmer``: every k-mer with its place."""
-    out = None
-    for k in ks:
-        one = chunks(seqs, k - 1).select("genome", "role", F.lit(k).alias("k"), "start", F.posexplode(seq.kmers(F.col("seq"), k)).alias("at", "kmer"))
-        one = one.select("genome", "role", "k", (F.col("start") + F.col("at")).cast("long").alias("pos"), "kmer")
-        out = one if out is None else out.unionByName(one)
-    return out
+def windows(seqs: DataFrame, ks: list[int], deal: bool = False) -> DataFrame:
+    """``genome, role, k, pos, kmer``: every k-mer with its place, all lengths in one pass over the sequences.
 
-
-def count(seqs: DataFrame, ks: list[int], keys: tuple[str, ...] = ("role",), both_strands: bool = True) -> DataFrame:
+    ``deal`` shuffles the pieces of long sequences first, so that a contig of
+    hundreds of megabases isn't one task's work; texts and reads don't need it.
+    """
+    pieces = chunks(seqs, max(ks) - 1)
+    if deal:
+        pieces = pieces.repartition("genome", "start")
+    if len(ks) == 1:
+        rows = pieces.select("genome", "role", F.lit(ks[0]).alias("k"), "start", F.posexplode(seq.kmers(F.col("seq"), ks[0])).alias("at", "kmer"))
+    else:  # a piece reaches over by the longest k, and owns as many starts for each
+        of = lambda k: F.transform(F.slice(seq.kmers(F.col("seq"), k), 1, CHUNK), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("at"), x.alias("kmer")))
+        rows = pieces.select("genome", "role", "start", F.explode(F.flatten(F.array(*map(of, ks)))).alias("x")).select("genome", "role", "x.k", "start", "x.at", "x.kmer")
+    return rows.select("genome", "role", "k", (F.col("start") + F.col("at")).cast("long").alias("pos"), "kmer")
+
+
+def count(seqs: DataFrame, ks: list[int], keys: tuple[str, ...] = ("role",), both_strands: bool = True, deal: bool = False) -> DataFrame:
     """Counts per keys, k and k-mer; with both strands a k-mer and its reverse complement are one."""
-    plain = windows(seqs, ks).groupBy(*keys, "k", "kmer").agg(F.count("*").alias("n"))
+    plain = windows(seqs, ks, deal).groupBy(*keys, "k", "kmer").agg(F.count("*").alias("n"))
     if not both_strands:
         return plain
     # strands are merged after the first sum: complements are built for kinds, not for occurrences

@@ -33,7 +33,7 @@ class Inputs:
 
 def step1(inputs: Inputs, cfg: Config) -> DataFrame:
     """``role, k, kmer, n``."""
-    return kmers.count(inputs.all(), list(range(cfg.min_k, cfg.max_k + 1)))
+    return kmers.count(inputs.all(), list(range(cfg.min_k, cfg.max_k + 1)), deal=True)
 
 
 def step2(counts: DataFrame, inputs: Inputs, cfg: Config) -> DataFrame:

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from helixmill.functions import conditions, scores, seq, thermo
 from helixmill.functions.conditions import Conditions
 from helixmill.operators import kmers, networks, pairs, quality, selection, sites
-from helixmill.plans.queries import SEQ, SITES, can, cand, candidates, cnt, gc_sql, is_background, line_sites, nn_sql, query, r, rc, sequences, tm_salt_sql, top_candidates, top_sql, win
+from helixmill.plans.queries import POOL, SEQ, SITES, can, cand, candidates, cnt, gc_sql, is_background, line_sites, nn_sql, query, r, rc, sequences, tm_salt_sql, top_candidates, top_sql, win
 from helixmill.plans.set_queries import REACH, run_sql
 
-POOL = networks.POOL
 MIX = Conditions(celsius=34.0, mg=2.0, dmso=5.0, betaine=1.0, trehalose=0.3)
 GC = 0.58
 

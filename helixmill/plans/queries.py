@@ -102,10 +102,23 @@ def cnt(k: int = 8) -> str:
     return f"{SEQ}, {win(k)}, cnt AS (SELECT role, k, {can('kmer')} AS kmer, count(*) AS n FROM w GROUP BY ALL)"
 
 
-def top_candidates(spark: SparkSession, sf_dir: str, n: int, k: int = 8) -> DataFrame:
+#: Candidates that the filter step hands on; tables of pairs and of sites are made of these.
+POOL = 500
+
+
+def all_candidates(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
+    """Every k-mer of the targets: ``primer, fg_count, bg_count``."""
     c = kmers.count(sequences(spark, sf_dir), [k])
     g = c.groupBy("kmer").agg(F.sum(F.when(is_target(), F.col("n")).otherwise(0)).alias("fg_count"), F.sum(F.when(is_background(), F.col("n")).otherwise(0)).alias("bg_count")).where("fg_count > 0")
-    return g.orderBy(F.desc(F.col("fg_count") - F.col("bg_count")), "kmer").limit(n).select(F.col("kmer").alias("primer"), "fg_count", "bg_count")
+    return g.select(F.col("kmer").alias("primer"), "fg_count", "bg_count")
+
+
+def all_sql(k: int = 8) -> str:
+    return f"WITH {wide(k)}, top AS (SELECT kmer AS primer, fg_count, bg_count FROM wide)"
+
+
+def top_candidates(spark: SparkSession, sf_dir: str, n: int, k: int = 8) -> DataFrame:
+    return all_candidates(spark, sf_dir, k).orderBy(F.desc(F.col("fg_count") - F.col("bg_count")), "primer").limit(n)
 
 
 def top_sql(n: int, k: int = 8) -> str:
@@ -310,18 +323,29 @@ def filter_comparison(spark, d):
     return candidates(spark, d).agg(F.count("*").alias("n"), F.count_if(old).alias("fixed"), F.count_if(new).alias("adaptive"), F.count_if(new & ~old).alias("gained"))
 
 
-@query(f"{top_sql(100)}, v AS (SELECT primer, unnest(flatten(list_transform(range(1, len(primer) + 1), lambda i: list_transform(list_filter(['A', 'C', 'G', 'T'], lambda b: b <> primer[i]), lambda b: primer[1:i - 1] || b || primer[i + 1:])))) AS variant FROM top), bg AS (SELECT kmer, sum(n) AS n FROM cnt WHERE role = 1 GROUP BY kmer) SELECT primer, count(*) AS variants, coalesce(sum(bg.n), 0)::BIGINT AS bg_hits FROM v LEFT JOIN bg ON bg.kmer = {can('variant')} GROUP BY primer")
+@query(f"{all_sql()}, v AS (SELECT primer, unnest(flatten(list_transform(range(1, len(primer) + 1), lambda i: list_transform(list_filter(['A', 'C', 'G', 'T'], lambda b: b <> primer[i]), lambda b: primer[1:i - 1] || b || primer[i + 1:])))) AS variant FROM top), bg AS (SELECT kmer, sum(n) AS n FROM cnt WHERE role = 1 GROUP BY kmer) SELECT primer, count(*) AS variants, coalesce(sum(bg.n), 0)::BIGINT AS bg_hits FROM v LEFT JOIN bg ON bg.kmer = {can('variant')} GROUP BY primer")
 def one_mismatch_neighbours(spark, d):
     bg = kmers.count(sequences(spark, d).where(is_background()), [8]).select("kmer", "n")
-    v = top_candidates(spark, d, 100).select("primer", F.explode(seq.mismatch_variants(F.col("primer"))).alias("variant")).withColumn("kmer", seq.canonical(F.col("variant")))
+    v = all_candidates(spark, d).select("primer", F.explode(seq.mismatch_variants(F.col("primer"))).alias("variant")).withColumn("kmer", seq.canonical(F.col("variant")))
     return v.join(bg, "kmer", "left").groupBy("primer").agg(F.count("*").alias("variants"), F.coalesce(F.sum("n"), F.lit(0)).alias("bg_hits"))
 
 
-@query(f"{top_sql(60, 10)}, b AS (SELECT DISTINCT kmer FROM w WHERE role = 1) SELECT t.primer AS query, b.kmer AS target, (10 - list_sum(list_transform(range(1, 11), lambda i: (t.primer[i] = b.kmer[i])::INT)))::INT AS mismatches FROM top t JOIN b ON t.primer[3:8] = b.kmer[3:8] WHERE list_sum(list_transform(range(1, 11), lambda i: (t.primer[i] = b.kmer[i])::INT)) >= 8")
+NEAR_K, SEED = 12, 8
+#: Near matches of every candidate among the k-mers of both strands of the background.
+NEAR = f"""{all_sql(NEAR_K)}, o AS (SELECT DISTINCT kmer FROM w WHERE role = 1), b AS (SELECT kmer FROM o UNION SELECT {rc('kmer')} FROM o),
+n AS (SELECT t.primer AS query, b.kmer AS target, {NEAR_K} - len(list_filter(range(1, {NEAR_K + 1}), lambda i: t.primer[i] = b.kmer[i])) AS mismatches FROM top t JOIN b ON t.primer[3:{2 + SEED}] = b.kmer[3:{2 + SEED}])"""
+
+
+def near_matches(spark: SparkSession, d: str) -> DataFrame:
+    q = all_candidates(spark, d, NEAR_K).select(F.col("primer").alias("query"))
+    t = kmers.windows(sequences(spark, d).where(is_background()), [NEAR_K]).select("kmer").distinct()
+    both = t.select(F.explode(F.array("kmer", seq.reverse_complement(F.col("kmer")))).alias("target")).distinct()
+    return pairs.seed_matches(q, both, SEED, 2)
+
+
+@query(f"{NEAR} SELECT query, target, mismatches::INT AS mismatches FROM n WHERE mismatches <= 2")
 def near_match_seed_join(spark, d):
-    q = top_candidates(spark, d, 60, 10).select(F.col("primer").alias("query"))
-    t = kmers.windows(sequences(spark, d).where(is_background()), [10]).select(F.col("kmer").alias("target")).distinct()
-    return pairs.seed_matches(q, t, 6, 2)
+    return near_matches(spark, d)
 
 
 # --- thermodynamics --------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import scores, seq, thermo
 from helixmill.operators import genomes, kmers, pairs, selection, simulation, sites
-from helixmill.plans.queries import SEQ, SITES, is_target, line_sites, nn_sql, query, r, rc, sequences, shares_sql, table, top_candidates, top_sql
+from helixmill.plans.queries import POOL, SEQ, SITES, all_candidates, all_sql, is_target, line_sites, nn_sql, query, r, rc, sequences, shares_sql, table, top_candidates, top_sql
 
 KEYS = ["genome", "primer"]
 GAPS = f"WITH {SITES}, l AS (SELECT genome, primer, strand, pos - lag(pos) OVER (PARTITION BY genome, primer, strand ORDER BY pos) AS gap FROM sites), gaps AS (SELECT * FROM l WHERE gap IS NOT NULL)"
@@ -20,14 +20,14 @@ def gini_sql(of: str, keys: str, value: str, shift: str = "1e-7") -> str:
 
 
 # --- sites and gaps --------------------------------------------------------
-@query(f"{top_sql(40)}, p AS (SELECT primer, primer AS kmer, '+' AS strand FROM top UNION ALL SELECT primer, {rc('primer')}, '-' FROM top) SELECT genome, primer, strand, pos FROM w JOIN p USING (kmer)")
+@query(f"{top_sql(POOL)}, p AS (SELECT primer, primer AS kmer, '+' AS strand FROM top UNION ALL SELECT primer, {rc('primer')}, '-' FROM top) SELECT genome, primer, strand, pos FROM w JOIN p USING (kmer)")
 def primer_sites(spark, d):
-    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, 40).select("primer"), [8], at_most=40)
+    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, POOL).select("primer"), [8], at_most=POOL)
 
 
-@query(f"{top_sql(40)}, ring AS (SELECT genome, role, seq || seq[1:7] AS seq FROM seqs WHERE len(seq) >= 8), cw AS (SELECT genome, seq[p:p + 7] AS kmer, (p - 1)::BIGINT AS pos FROM (SELECT *, unnest(range(1, len(seq) - 6)) AS p FROM ring)), p AS (SELECT primer, primer AS kmer, '+' AS strand FROM top UNION ALL SELECT primer, {rc('primer')}, '-' FROM top) SELECT primer, strand, count(*) AS n FROM cw JOIN p USING (kmer) GROUP BY ALL")
+@query(f"{top_sql(POOL)}, ring AS (SELECT genome, role, seq || seq[1:7] AS seq FROM seqs WHERE len(seq) >= 8), cw AS (SELECT genome, seq[p:p + 7] AS kmer, (p - 1)::BIGINT AS pos FROM (SELECT *, unnest(range(1, len(seq) - 6)) AS p FROM ring)), p AS (SELECT primer, primer AS kmer, '+' AS strand FROM top UNION ALL SELECT primer, {rc('primer')}, '-' FROM top) SELECT primer, strand, count(*) AS n FROM cw JOIN p USING (kmer) GROUP BY ALL")
 def primer_sites_circular(spark, d):
-    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, 40).select("primer"), [8], circular=True, at_most=40).groupBy("primer", "strand").agg(F.count("*").alias("n"))
+    return sites.find_sites(sequences(spark, d), top_candidates(spark, d, POOL).select("primer"), [8], circular=True, at_most=POOL).groupBy("primer", "strand").agg(F.count("*").alias("n"))
 
 
 @query(GAPS + " SELECT genome, primer, strand, gap, count(*) AS n FROM gaps GROUP BY ALL")
@@ -212,11 +212,11 @@ def run_sql(a: str, b: str, most: int = 8) -> str:
     return "CASE " + " ".join(f"WHEN {shares_sql(a, rc(b), t)} THEN {t}" for t in range(most, 0, -1)) + " ELSE 0 END"
 
 
-PAIRS = f"{top_sql(60)}, pairs AS (SELECT a.primer AS a, b.primer AS b, {run_sql('a.primer', 'b.primer')} AS run FROM top a JOIN top b ON a.primer < b.primer), d AS (SELECT a, b, run > 3 AS dimer, greatest(0, least(1, (run - 3) / 7.0))::DOUBLE AS severity FROM pairs)"
+PAIRS = f"{top_sql(POOL)}, pairs AS (SELECT a.primer AS a, b.primer AS b, {run_sql('a.primer', 'b.primer')} AS run FROM top a JOIN top b ON a.primer < b.primer), d AS (SELECT a, b, run > 3 AS dimer, greatest(0, least(1, (run - 3) / 7.0))::DOUBLE AS severity FROM pairs)"
 
 
 def _dimers(spark, d) -> DataFrame:
-    return pairs.dimer_table(top_candidates(spark, d, 60).select("primer"))
+    return pairs.dimer_table(top_candidates(spark, d, POOL).select("primer"))
 
 
 @query(PAIRS + " SELECT a, b, dimer, round(severity, 6) AS severity FROM d")
@@ -248,10 +248,10 @@ def primers_to_replace(spark, d):
 HS, ES = nn_sql("s")
 
 
-@query(f"""{top_sql(500, 12)}, g AS (SELECT primer, a AS start, m AS stem, l AS loop, primer[a:a + m - 1] AS s, primer[a + m + l:a + 2 * m + l - 1] AS z FROM (SELECT primer, unnest(range(1, 13)) AS a FROM top), range(3, 9) x(m), range(3, 9) y(l) WHERE a + 2 * m + l - 1 <= 12)
+@query(f"""{all_sql(12)}, g AS (SELECT primer, a AS start, m AS stem, l AS loop, primer[a:a + m - 1] AS s, primer[a + m + l:a + 2 * m + l - 1] AS z FROM (SELECT primer, unnest(range(1, 13)) AS a FROM top), range(3, 9) x(m), range(3, 9) y(l) WHERE a + 2 * m + l - 1 <= 12)
 SELECT primer, start::INT AS start, stem::INT AS stem, loop::INT AS loop, round({HS} - 310.15 * ({ES}) / 1000 + [5.6, 5.0, 5.2, 5.4][least(loop, 6) - 2] + CASE WHEN loop > 6 THEN {1.75 * 1.987e-3 * 310.15!r} * ln(loop / 6.0) ELSE 0 END, 6) AS energy FROM g WHERE s = {rc('z')}""")
 def hairpins(spark, d):
-    h = pairs.hairpins(top_candidates(spark, d, 500, 12).select("primer"))
+    h = pairs.hairpins(all_candidates(spark, d, 12).select("primer"))
     return h.withColumn("energy", r(F.col("energy")))
 
 
@@ -317,7 +317,7 @@ def coverage_by_size(spark, d):
 
 
 def _score_rows(spark, d) -> DataFrame:
-    return top_candidates(spark, d, 60).select("primer", (F.col("fg_count") - F.col("bg_count")).cast("double").alias("score"))
+    return top_candidates(spark, d, POOL).select("primer", (F.col("fg_count") - F.col("bg_count")).cast("double").alias("score"))
 
 
 @query()
@@ -372,9 +372,9 @@ def quality_grade(spark, d):
     return m.select("genome", r(total).alias("score")).withColumn("grade", scores.grade(F.col("score")))
 
 
-@query(top_sql(200) + ", m AS (SELECT primer, (fg_count - min(fg_count) OVER ())::DOUBLE / greatest(max(fg_count) OVER () - min(fg_count) OVER (), 1) AS f, (bg_count - min(bg_count) OVER ())::DOUBLE / greatest(max(bg_count) OVER () - min(bg_count) OVER (), 1) AS b FROM top) SELECT primer, round(0.7 * f + 0.3 * (1 - b), 6) AS blend, row_number() OVER (ORDER BY round(0.7 * f + 0.3 * (1 - b), 6) DESC, primer)::INT AS place FROM m")
+@query(all_sql() + ", m AS (SELECT primer, (fg_count - min(fg_count) OVER ())::DOUBLE / greatest(max(fg_count) OVER () - min(fg_count) OVER (), 1) AS f, (bg_count - min(bg_count) OVER ())::DOUBLE / greatest(max(bg_count) OVER () - min(bg_count) OVER (), 1) AS b FROM top) SELECT primer, round(0.7 * f + 0.3 * (1 - b), 6) AS blend, row_number() OVER (ORDER BY round(0.7 * f + 0.3 * (1 - b), 6) DESC, primer)::INT AS place FROM m")
 def min_max_blend(spark, d):
-    t = top_candidates(spark, d, 200)
+    t = all_candidates(spark, d)
     e = t.agg(*[f(c).alias(f"{n}_{c}") for c in ("fg_count", "bg_count") for n, f in (("lo", F.min), ("hi", F.max))])
     scale = lambda c: (F.col(c) - F.col(f"lo_{c}")) / F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1))
     b = t.join(F.broadcast(e)).select("primer", r(0.7 * scale("fg_count") + 0.3 * (1 - scale("bg_count"))).alias("blend"))
@@ -413,18 +413,18 @@ def set_operations(spark, d):
     return n("union", a.union(b).distinct()).unionByName(n("intersect", a.intersect(b))).unionByName(n("except", a.distinct().join(b, "pos", "left_anti")))
 
 
-@query(f"{top_sql(50)} SELECT primer, list_distinct(list_concat(l, m)).len()::INT AS merged, len(list_intersect(l, m))::INT AS common FROM (SELECT primer, list_transform(range(1, 6), lambda i: primer[i:i + 3]) AS l, list_transform(range(1, 6), lambda i: ({rc('primer')})[i:i + 3]) AS m FROM top)")
+@query(f"{all_sql()} SELECT primer, list_distinct(list_concat(l, m)).len()::INT AS merged, len(list_intersect(l, m))::INT AS common FROM (SELECT primer, list_transform(range(1, 6), lambda i: primer[i:i + 3]) AS l, list_transform(range(1, 6), lambda i: ({rc('primer')})[i:i + 3]) AS m FROM top)")
 def array_set_operations(spark, d):
     p = F.col("primer")
     a, b = seq.kmers(p, 4), seq.kmers(seq.reverse_complement(p), 4)
-    return top_candidates(spark, d, 50).select("primer", F.size(F.array_union(a, b)).alias("merged"), F.size(F.array_intersect(a, b)).alias("common"))
+    return all_candidates(spark, d).select("primer", F.size(F.array_union(a, b)).alias("merged"), F.size(F.array_intersect(a, b)).alias("common"))
 
 
 # --- simulations and models ------------------------------------------------
 @query()
 def delta_g_histogram(spark, d):
     c = kmers.count(sequences(spark, d).where(is_target()), [8])
-    return simulation.delta_g_histogram(top_candidates(spark, d, 20).select("primer"), c, simulation.EDGES)
+    return simulation.delta_g_histogram(top_candidates(spark, d, POOL).select("primer"), c, simulation.EDGES)
 
 
 @query()
