@@ -106,7 +106,8 @@ def _bin(v: Column) -> Column:
 
 def _quantile_bin(df: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
     """Least bin at which ``share`` of a group's rows is reached: ``keys, bin``."""
-    counts = df.select(*keys, _bin(value).alias("bin")).groupBy(*keys, "bin").count()
+    # dealt out again by group only once the bins are summed, else a hot group's parts would all meet in one task
+    counts = df.select(*keys, _bin(value).alias("bin")).groupBy(*keys, "bin").count().repartition(*keys)
     w = Window.partitionBy(*keys)
     run = counts.select(*keys, "bin", F.sum("count").over(w.orderBy("bin")).alias("upto"), F.sum("count").over(w).alias("all"))
     return run.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("bin"))
