@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, fields, replace
 
 # Default range of k by polymerase.
@@ -55,10 +56,12 @@ class Config:
 
     @classmethod
     def read(cls, path: str) -> Config:
-        """From JSON; keys that are not parameters are left to others."""
+        """From JSON; keys that are not parameters here are named in a warning, so that a misspelt one is seen."""
         with open(path) as f:
             given = json.load(f)
         known = {f.name for f in fields(cls)}
+        if other := sorted(set(given) - known):
+            warnings.warn(f"not used: {', '.join(other)}", stacklevel=2)
         return cls(**{k: v for k, v in given.items() if k in known})
 
     def with_(self, **changes) -> Config:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixmill.config import Config
 from helixmill.functions import scores, thermo
-from helixmill.operators import genomes, kmers, pairs, selection, sites
+from helixmill.operators import genomes, kmers, networks, pairs, selection, sites
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,18 @@ METHODS = (
 )
 
 
+def _names(where: DataFrame, names: list[str]) -> DataFrame:
+    return where.sparkSession.createDataFrame([(p,) for p in names], "primer string")
+
+
+def hybrid(inc: DataFrame, fg: DataFrame, bg: DataFrame, n: int, reach: int) -> DataFrame:
+    """Cover with twice the primers, prune half of the surplus by background, refine the rest by its network."""
+    wide = inc.join(selection.set_cover(inc, 2 * n).select("primer"), "primer", "left_semi")
+    bins = max(1, inc.select("bin").distinct().count())
+    pruned = networks.prune(wide, bg, n + n // 2, bins)
+    return _names(inc, networks.refine(fg, pruned, n, reach))
+
+
 def step4(method: str, scored: DataFrame, where: DataFrame, cfg: Config) -> DataFrame:
     """``primer`` of the chosen set, by the method's name."""
     if method not in METHODS:
@@ -100,18 +113,20 @@ def step4(method: str, scored: DataFrame, where: DataFrame, cfg: Config) -> Data
         return selection.set_cover(inc, n, scored.select("primer", (F.col("score") / 20).alias("quality"))).select("primer")
     if method == "greedy":
         return first(selection.beam(scored.select("primer", "score"), table(scored), n))
+    if method == "equiphi29" and cfg.polymerase != "equiphi29":  # the preset of that enzyme, then as hybrid
+        return step4("hybrid", scored, where, Config.for_polymerase("equiphi29", target_set_size=n, bin_size=cfg.bin_size))
     if method in ("hybrid", "equiphi29"):
-        return selection.hybrid(inc, bg, n).select("primer")
+        return hybrid(inc, fg, bg, n, reach)
     if method == "bg-prefilter":
-        return selection.prune_order(inc, bg).orderBy("cost", F.desc("loss"), "primer").limit(n).select("primer")
+        return _names(inc, networks.prune(inc, bg, n, max(1, inc.select("bin").distinct().count())))
     if method == "background-aware":
         return selection.background_aware(inc, bg, n).select("primer")
     if method == "tiling":
-        return selection.tiling(fg, bg, reach, -(-n // 2)).select("primer").distinct().orderBy("primer").limit(n)
+        picks = selection.tiling(fg, bg, reach, -(-n // 2)).groupBy("primer").agg(F.min("step").alias("step"), F.max("gain").alias("gain"))
+        return picks.orderBy("step", F.desc("gain"), "primer").limit(n).select("primer")
     if method == "network":
-        comp = sites.components(where.withColumn("site", F.xxhash64("genome", "primer", "strand", "pos")), ["role", "genome", "primer"], reach).groupBy("role", "genome", "primer", "component").agg(F.count("*").alias("size"))
-        s = comp.groupBy("primer").agg(F.max(F.when(F.col("role") == "target", F.col("size"))).alias("f"), F.avg(F.when(F.col("role") == "background", F.col("size"))).alias("b"))
-        return s.where("f is not null").orderBy(F.desc(F.col("f") / (F.coalesce("b", F.lit(0.0)) + 1)), "primer").limit(n).select("primer")
+        own = where.select("genome", "primer", "strand", "pos", "role")
+        return _names(where, networks.network(own.where("role = 'target'").drop("role"), own.where("role = 'background'").drop("role"), n, reach))
     if method in ("clique", "coverage-then-dimerfree"):
         pool = selection.cascade(scored, [(gain, 4 * n)])
         return clean(pool)
@@ -119,17 +134,21 @@ def step4(method: str, scored: DataFrame, where: DataFrame, cfg: Config) -> Data
         pool = selection.cascade(scored, [(by_score, 4 * n)])
         return clean(pool)
     if method == "bg-prefilter-hybrid":
-        pool = selection.prune_order(inc, bg).orderBy("cost", "primer").limit(4 * n)
-        return selection.hybrid(inc.join(pool, "primer", "left_semi"), bg, n).select("primer")
+        pool = networks.prune(inc, bg, 4 * n, max(1, inc.select("bin").distinct().count()))
+        keep = F.col("primer").isin(pool)
+        return hybrid(inc.where(keep), fg.where(keep), bg, n, reach)
     if method == "milp":
-        return exact_cover(inc, n)
+        if len(networks.pool_names(inc, 10 * networks.POOL)) > networks.POOL:  # too many for an exact search
+            return step4("network", scored, where, cfg)
+        return exact_cover(inc, n, table(inc.select("primer").distinct()))
     if method == "genetic":
         return first(selection.genetic(scored.select("primer", "score"), table(scored), n, seed=cfg.seed))
     if method == "moea":
         c = scored.select("primer", "score").join(bg, "primer", "left").select("primer", "score", (-F.coalesce("bg_sites", F.lit(0))).alias("clean"))
         return selection.layers(c, "score", "clean", 5).orderBy("layer", F.desc("score"), "primer").limit(n).select("primer")
     if method == "normalized":
-        m = selection.best_gain(inc, None).join(bg, "primer", "left").join(inc.agg(F.countDistinct("bin").alias("bins")).hint("broadcast")).select("primer", (F.col("gain") / F.col("bins")).alias("coverage"), F.lit(0.5).alias("connectivity"), F.col("gain").alias("amplification"), F.coalesce("bg_sites", F.lit(0)).alias("background"))
+        size = networks.component_sizes(networks.named(fg), ["primer", "genome"], reach).groupBy("primer").agg(F.max("size").alias("largest"), F.sum("size").alias("sites"))
+        m = selection.best_gain(inc, None).join(size, "primer", "left").join(bg, "primer", "left").join(inc.agg(F.countDistinct("bin").alias("bins")).hint("broadcast")).select("primer", (F.col("gain") / F.col("bins")).alias("coverage"), F.coalesce(F.col("largest") / F.col("sites"), F.lit(0.0)).alias("connectivity"), F.col("gain").alias("amplification"), F.coalesce("bg_sites", F.lit(0)).alias("background"))
         return selection.normalized(m).orderBy(F.desc("score"), "primer").limit(n).select("primer")
     # multi-agent: several methods, the set that covers most bins
     best, most = None, -1
@@ -141,30 +160,40 @@ def step4(method: str, scored: DataFrame, where: DataFrame, cfg: Config) -> Data
     return best
 
 
-def exact_cover(incidence: DataFrame, n: int, most: int = 60) -> DataFrame:
-    """The set of ``n`` candidates that covers most bins, by branch and bound over the ``most`` largest."""
-    top = selection.best_gain(incidence, None).orderBy(F.desc("gain"), "primer").limit(most)
-    rows = incidence.join(top, "primer", "left_semi").groupBy("primer").agg(F.collect_set("bin").alias("bins")).collect()
-    bins = {b: i for i, b in enumerate(sorted({b for r in rows for b in r["bins"]}))}
-    masks = sorted(((sum(1 << bins[b] for b in r["bins"]), r["primer"]) for r in rows), key=lambda x: (-x[0].bit_count(), x[1]))
+def exact_cover(incidence: DataFrame, n: int, dimers: DataFrame | None = None, most_steps: int = 2_000_000) -> DataFrame:
+    """The set of ``n`` candidates without a dimer that covers most bins, by branch and bound at the driver.
+
+    The pool is checked (:data:`networks.POOL`); a search that is stopped after
+    ``most_steps`` warns that its set is good but not proven best.
+    """
+    networks.pool_names(incidence)
+    rows = incidence.groupBy("primer").agg(F.collect_set("bin").alias("bins")).collect()
+    place = {b: i for i, b in enumerate(sorted({b for r in rows for b in r["bins"]}))}
+    masks = sorted(((sum(1 << place[b] for b in r["bins"]), r["primer"]) for r in rows), key=lambda x: (-x[0].bit_count(), x[1]))
+    bad: dict[str, set[str]] = {}
+    for r in dimers.where("dimer").collect() if dimers is not None else []:  # pairs of the checked pool
+        bad.setdefault(r["a"], set()).add(r["b"])
+        bad.setdefault(r["b"], set()).add(r["a"])
     best: tuple[int, list[str]] = (0, [])
+    stack: list[tuple[int, int, tuple[str, ...]]] = [(0, 0, ())]
     steps = 0
-
-    def search(i: int, covered: int, chosen: list[str]) -> None:
-        nonlocal best, steps
+    while stack and steps < most_steps:
+        i, covered, chosen = stack.pop()
         steps += 1
         if covered.bit_count() > best[0]:
             best = (covered.bit_count(), list(chosen))
         left = n - len(chosen)
-        if not left or i == len(masks) or steps > 200_000:
-            return
-        if covered.bit_count() + sum((m & ~covered).bit_count() for m, _ in masks[i : i + left]) <= best[0] and all((m & ~covered).bit_count() * left + covered.bit_count() <= best[0] for m, _ in masks[i:]):
-            return
+        if not left or i == len(masks):
+            continue
+        # masks fall in size, so the next ``left`` of them bound what can still be won
+        if covered.bit_count() + sum(m.bit_count() for m, _ in masks[i : i + left]) <= best[0]:
+            continue
         m, p = masks[i]
-        search(i + 1, covered | m, [*chosen, p])
-        search(i + 1, covered, chosen)
-
-    search(0, 0, [])
+        stack.append((i + 1, covered, chosen))
+        if not bad.get(p, set()) & set(chosen):
+            stack.append((i + 1, covered | m, (*chosen, p)))
+    if stack:
+        warnings.warn(f"stopped after {most_steps} steps: the set is not proven best", stacklevel=2)
     return incidence.sparkSession.createDataFrame([(p,) for p in best[1]], "primer string")
 
 

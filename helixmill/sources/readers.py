@@ -45,8 +45,9 @@ def read_kmer_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def read_primers(spark: SparkSession, path: str) -> DataFrame:
     """Valid primers of a list file, each once, first come first; ``#`` starts a comment."""
-    d = spark.read.text(path).select(F.upper(F.trim(F.regexp_replace("value", "#.*", ""))).alias("primer"))
-    return d.where(F.rlike("primer", F.lit("^[ACGT]+$"))).dropDuplicates(["primer"])
+    at = F.struct(F.input_file_name(), F.monotonically_increasing_id())  # order of the lines in their file
+    d = spark.read.text(path).select(F.upper(F.trim(F.regexp_replace("value", "#.*", ""))).alias("primer"), at.alias("at"))
+    return d.where(F.rlike("primer", F.lit("^[ACGT]+$"))).groupBy("primer").agg(F.min("at").alias("at")).orderBy("at").select("primer")
 
 
 def from_text(df: DataFrame, key: str, text: str) -> DataFrame:

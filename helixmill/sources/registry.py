@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ class Registry:
         return last.select("name", "path", "role", "length")
 
     def _append(self, name: str, path: str | None, role: str | None, length: int | None, gone: bool) -> None:
-        version = self._log().agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first().v + 1
+        version = time.time_ns()  # not read from the log, so that writers don't take each other's number
         self.spark.createDataFrame([(name, path, role, length, gone, version)], SCHEMA).write.mode("append").parquet(self.path)
 
     def add(self, name: str, path: str, role: str, length: int) -> None:
@@ -45,3 +47,8 @@ class Registry:
 
     def search(self, part: str) -> DataFrame:
         return self.list().where(F.contains(F.lower("name"), F.lit(part.lower())))
+
+    def discover(self, folder: str) -> DataFrame:
+        """FASTA files below a folder that no entry names: ``path, bytes``."""
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.{fa,fasta,fna,fa.gz,fasta.gz,fna.gz}").option("recursiveFileLookup", True).load(folder)
+        return found.select("path", F.col("length").alias("bytes")).join(self.list().select("path"), "path", "left_anti")
