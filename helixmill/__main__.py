@@ -114,7 +114,7 @@ def of_sets(spark, args, cfg):
         return named(networks.contract(inc, members, args.size))
     if args.command == "simulate":
         s = fg.join(lengths, "genome").groupBy("genome").agg(F.array_sort(F.collect_list(F.struct("pos", "strand"))).alias("x"), F.max("length").alias("length"))
-        s = s.select(F.xxhash64("genome").alias("set_id"), "length", F.transform("x", lambda y: y["pos"]).alias("starts"), F.transform("x", lambda y: F.when(y["strand"] == "+", 1).otherwise(-1)).alias("directions"))
+        s = s.select(F.shiftrightunsigned(F.xxhash64("genome"), 1).alias("set_id"), "length", F.transform("x", lambda y: y["pos"]).alias("starts"), F.transform("x", lambda y: F.when(y["strand"] == "+", 1).otherwise(-1)).alias("directions"))
         return simulation.summary(simulation.replication(s, args.replicates), ["set_id"], "coverage")
     if args.command == "export":
         if args.format == "bed":

@@ -396,13 +396,11 @@ def mode_per_group(spark, d):
 @query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_dot_product(v, embedding::DOUBLE[]) / sqrt(list_dot_product(v, v) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS c FROM q, embeddings WHERE vec_id <> query_id) SELECT query_id, vec_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, vec_id) AS rn FROM s) WHERE rn <= 5")
 def cosine_top_k(spark, d):
     """The five most similar vectors of every twentieth vector."""
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    v = v.withColumn("norm", dot(F.col("v"), F.col("v")))
-    q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"), F.col("norm").alias("wn"))
-    s = v.join(F.broadcast(q) if q.limit(2001).count() <= 2000 else q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", r(dot(F.col("v"), F.col("w")) / F.sqrt(F.col("norm") * F.col("wn"))).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+    from helixmill.operators import vectors
+
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    best = vectors.top_k(v.where(F.col("id") % 20 == 0), v, 5)
+    return best.select("query_id", F.col("id").alias("vec_id"), "cosine")
 
 
 @query(f"WITH {SITES}, a AS (SELECT DISTINCT pos FROM sites WHERE genome % 2 = 0), b AS (SELECT DISTINCT pos FROM sites WHERE genome % 2 = 1) SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
