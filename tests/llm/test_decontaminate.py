@@ -69,3 +69,15 @@ def test_oracle(spark):
     c.executemany("insert into documents values (?, ?)", docs)
     c.executemany("insert into benchmark values (?, ?)", items)
     assert sorted(map(tuple, c.sql(decontaminate.ORACLE).fetchall()), key=str) == brute(docs, items)
+
+
+def test_long_texts(spark):
+    """A text of 30,000 words with items at its start, middle and end, twice; and an item that is longer than any text."""
+    rnd = random.Random(9)
+    fill = lambda n: [f"f{rnd.randint(0, 3000)}" for _ in range(n)]
+    item = [f"q{i}" for i in range(25)]
+    long_ = " ".join(item + fill(15000) + item[3:18] + fill(15000) + item[-10:])
+    docs = [(1, long_), (1, long_), (2, " ".join(item[:9])), (3, " ".join(fill(200)))]
+    items = [(5, " ".join(item)), (6, " ".join(fill(40000)))]
+    got = sorted((tuple(r) for r in decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()), key=str)
+    assert got == brute(docs, items) and got[0][2] == 50

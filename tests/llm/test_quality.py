@@ -19,7 +19,7 @@ def counts(t):
     return len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in t), len(lines) - len(set(lines)), len(rep)
 
 
-TEXTS = [None, "", " \n\t", "a", "a b", "a b c a b c", "x\x0bx x x x x x", "é#ü $$ |\n\né#ü $$ |\n x", "l1\nl1\n\n\nl1 \nl1", "a b c d", "w " * 300, "\r\na\r\nb\r\na\r\n"]
+TEXTS = [None, "", " \n\t", "a", "a b", "a b c a b c", "x\x0bx x x x x x", "é#ü $$ |\n\né#ü $$ |\n x", "l1\nl1\n\n\nl1 \nl1", "a b c d", "w " * 300, "\r\na\r\nb\r\na\r\n", "one two three four\n" * 400 + " ".join(f"x{i}" for i in range(3000))]
 
 
 def test_counts(spark):
