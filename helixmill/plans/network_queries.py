@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import conditions, scores, seq, thermo
 from helixmill.functions.conditions import Conditions
-from helixmill.operators import kmers, networks, pairs, quality, selection, sites
+from helixmill.operators import features, kmers, networks, pairs, quality, selection, sites
 from helixmill.plans.queries import POOL, SEQ, SITES, can, cand, candidates, cnt, gc_sql, is_background, line_sites, nn_sql, query, r, rc, sequences, tm_salt_sql, top_candidates, top_sql, win
 from helixmill.plans.set_queries import REACH, run_sql
 
@@ -255,3 +255,32 @@ def dimer_replacements(spark, d):
 def set_enrichment(spark, d):
     s = line_sites(spark, d).select(F.col("genome").cast("string").alias("primer"), F.lit("g").alias("genome"), "strand", "pos", F.when(F.col("primer") == "R", "background").otherwise("target").alias("role"))
     return networks.enrichment(s.withColumn("set", F.col("primer")), ["set"], REACH)
+
+
+# --- wide features ---------------------------------------------------------
+def _motif_sql(m: str) -> str:
+    k = len(m)
+    return f"round(len(list_filter(list_transform(range(1, len(primer) - {k - 2}), lambda i: primer[i:i + {k - 1}]), lambda x: x = '{m}'))::DOUBLE / (len(primer) - {k - 1}), 6) AS freq_{k}mer_{m}"
+
+
+def _n(b: str) -> str:
+    return f"(len(primer) - len(replace(primer, '{b}', '')))"
+
+
+@query(f"""{cand(8)} SELECT primer, {', '.join(f'{_n(b)}::DOUBLE AS {b.lower()}_count' for b in 'ACGT')}, round(({_n('A')} + {_n('G')}) / len(primer), 6) AS purine_content, round(len(translate(left(primer, 5), 'AT', '')) / 5.0, 6) AS gc_content_5prime, round(len(translate(primer[3:6], 'AT', '')) / 4.0, 6) AS gc_content_middle,
+round(CASE WHEN {_n('G')} + {_n('C')} = 0 THEN 0 ELSE ({_n('G')} - {_n('C')})::DOUBLE / ({_n('G')} + {_n('C')}) END, 6) AS gc_skew, round(CASE WHEN {_n('A')} + {_n('T')} = 0 THEN 0 ELSE ({_n('A')} - {_n('T')})::DOUBLE / ({_n('A')} + {_n('T')}) END, 6) AS at_skew, {', '.join(map(_motif_sql, features.MOTIFS))} FROM c""")
+def wide_features(spark, d):
+    """Candidates with composition and motif shares; the other columns of the table have queries of their own."""
+    f = features.of_sequence(candidates(spark, d))
+    names = ["a_count", "c_count", "g_count", "t_count", "purine_content", "gc_content_5prime", "gc_content_middle", "gc_skew", "at_skew", *[f"freq_{len(m)}mer_{m}" for m in features.MOTIFS]]
+    return f.select("primer", *[r(F.col(n)).alias(n) for n in names])
+
+
+@query(f"""WITH {SITES}, s AS (SELECT genome::VARCHAR AS primer, strand, pos FROM sites), l AS (SELECT primer, pos - lag(pos) OVER (PARTITION BY primer ORDER BY pos) AS gap FROM s WHERE strand = '+'), g AS (SELECT primer, avg(gap) AS m, stddev_pop(gap) AS sd, min(gap) AS lo, max(gap) AS hi, median(gap) AS md FROM l WHERE gap IS NOT NULL GROUP BY primer),
+c AS (SELECT l.primer, avg((gap < m / 2)::INT) AS cl FROM l JOIN g USING (primer) WHERE gap IS NOT NULL GROUP BY l.primer), n AS (SELECT primer, count(*) AS total_binding_sites, count_if(strand = '+') AS forward_site_count FROM s GROUP BY primer)
+SELECT primer, total_binding_sites, forward_site_count, round(m, 6) AS mean_forward_gap, round(sd, 6) AS std_forward_gap, lo AS min_forward_gap, hi AS max_forward_gap, round(md, 6) AS median_forward_gap, round(cl, 6) AS clustering_coefficient, round(sd / m, 6) AS gap_cv FROM n JOIN g USING (primer) JOIN c USING (primer)""")
+def site_features(spark, d):
+    s = line_sites(spark, d).select(F.col("genome").cast("string").alias("primer"), "strand", "pos")
+    f = features.of_sites(s, 1_000_000, REACH)
+    rounded = ("mean_forward_gap", "std_forward_gap", "median_forward_gap", "clustering_coefficient", "gap_cv")
+    return f.select("primer", "total_binding_sites", "forward_site_count", "min_forward_gap", "max_forward_gap", *[r(F.col(c)).alias(c) for c in rounded])

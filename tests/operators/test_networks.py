@@ -122,3 +122,17 @@ def test_conditions():
     assert conditions.set_size("clinical", 1_000_000, 12)["recommended_size"] == 10
     assert conditions.criteria(c(celsius=42), 0.7)["max_dimer_energy"] == -10.0
     assert set(selection.REGISTRY) >= {"network", "hybrid"}
+
+
+def test_forest_learns_what_the_features_tell(spark):
+    from pyspark.sql import functions as F
+
+    from helixmill.operators import features
+
+    rnd = random.Random(8)
+    primers = spark.createDataFrame([("".join(rnd.choice("ACGT") for _ in range(rnd.randint(8, 12))),) for _ in range(300)], "primer string").distinct()
+    f = features.of_sequence(primers)
+    assert len(f.columns) == 1 + 19 + 14 + 5 + 20
+    rows = f.withColumn("y", F.col("gc_content") * 10 + F.col("longest_homopolymer")).cache()
+    e = features.held_out_error(rows, "y", trees=20, depth=6)
+    assert e["forest"] < 0.6 * e["mean"]
