@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import Stash, blank_words
+from helixmill.llm.common import Stash, blank_words, maybe_broadcast
 
 SYMBOLS = "#*$%&|<>"
 P = 5
@@ -151,30 +151,39 @@ def _keys(df: DataFrame, lang: str, source: str) -> DataFrame:
     return df.withColumn("__lang", F.coalesce(F.col(lang), F.lit(NULL))).withColumn("__source", F.coalesce(F.col(source), F.lit(NULL)))
 
 
+#: Rows of a table of groups up to which it is broadcast, a hundred bytes or two each.
+MOST_GROUPS = 100_000
+
+
+def _per_group(df: DataFrame) -> DataFrame:
+    """Broadcast behind a count: its many small files look larger than they are, and rows would be shuffled to their groups."""
+    return maybe_broadcast(df, MOST_GROUPS)
+
+
 def _concentrated(near: DataFrame, keys: list[str], stash: Stash) -> DataFrame:
     """Estimate from the ``H`` share of each group's rows with the least ``__ld``."""
     limit = stash.put(_quantile_bin(near, keys, F.col("__ld"), H))
-    inner = near.join(limit, keys).where(_bin(F.col("__ld")) <= F.col("bin"))
+    inner = near.join(_per_group(limit), keys).where(_bin(F.col("__ld")) <= F.col("bin"))
     moments = inner.groupBy(*keys).agg(*[F.avg(X[i]).alias(f"m{i}") for i in range(P)], *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
     cov = moments.select(*keys, *MEAN, *[(CONSISTENCY * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
     return stash.put(_roots(cov, keys))
 
 
 def _near(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    return _distance(rows.join(model, GROUP)).select(*keys, *X, F.log1p("__d2").alias("__ld"))
+    return _distance(rows.join(_per_group(model), GROUP)).select(*keys, *X, F.log1p("__d2").alias("__ld"))
 
 
 def _started(rows: DataFrame, stash: Stash) -> DataFrame:
     """Rows three times, ``__start`` 0 to 2, with the log of three measures of how far they are from the middle."""
     long = rows.select(*GROUP, F.posexplode(F.array(*X)).alias("j", "v"))
     middle = stash.put(_quantile_bin(long, [*GROUP, "j"], F.col("v"), 0.5).select(*GROUP, "j", ((F.col("bin") + 0.5) / BINS).alias("m")))
-    spread = _quantile_bin(long.join(middle, [*GROUP, "j"]), [*GROUP, "j"], F.abs(F.col("v") - F.col("m")), 0.5)
+    spread = _quantile_bin(long.join(_per_group(middle), [*GROUP, "j"]), [*GROUP, "j"], F.abs(F.col("v") - F.col("m")), 0.5)
     both = stash.put(middle.join(spread, [*GROUP, "j"]).groupBy(*GROUP).agg(
         *[F.max(F.when(F.col("j") == i, F.col("m"))).alias(f"m{i}") for i in range(P)],
         *[F.max(F.when(F.col("j") == i, F.pow(1.4826 * F.col("bin") / BINS, F.lit(2)))).alias(f"v{i}") for i in range(P)],
     ))
     z = [F.abs(F.col(X[i]) - F.col(f"m{i}")) / F.sqrt(F.col(f"v{i}") + FLOORS[i] ** 2) for i in range(P)]
-    scored = rows.join(both, GROUP).select(*GROUP, *X, *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    scored = rows.join(_per_group(both), GROUP).select(*GROUP, *X, *[c.alias(f"z{i}") for i, c in enumerate(z)])
     z = [F.col(f"z{i}") for i in range(P)]
     measures = (reduce(lambda a, b: a + b, [c * c for c in z]), reduce(lambda a, b: a + b, z), F.greatest(*z))
     return scored.select(*GROUP, *X, F.posexplode(F.array(*[F.log1p(m) for m in measures])).alias("__start", "__ld"))
@@ -189,7 +198,7 @@ def estimates(rows: DataFrame, stash: Stash) -> DataFrame:
     best = stash.put(model.groupBy(*GROUP).agg(F.min_by(F.struct(*[c for c in model.columns if c not in keys]), F.struct("logdet", "__start")).alias("b")).select(*GROUP, "b.*"))
     falling = best.select(*GROUP)
     while True:
-        new = _concentrated(_near(rows.join(falling, GROUP, "left_semi"), best, GROUP), GROUP, stash)
+        new = _concentrated(_near(rows.join(_per_group(falling), GROUP, "left_semi"), best, GROUP), GROUP, stash)
         lower = new.join(best.select(*GROUP, F.col("logdet").alias("__was")), GROUP).where(F.col("logdet") < F.col("__was") - FALL)
         lower = stash.put(lower.drop("__was"))
         if not lower.limit(1).count():
@@ -227,7 +236,7 @@ def fit(stats: DataFrame, stash: Stash, lang: str = "lang", source: str = "sourc
 
 def score(stats: DataFrame, model: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Adds ``distance2`` (null where no estimate applies) and ``kept``."""
-    joined = _keys(stats, lang, source).join(model, ["__lang", "__source"], "left")
+    joined = _keys(stats, lang, source).join(_per_group(model), ["__lang", "__source"], "left")
     out = _distance(joined).withColumnRenamed("__d2", "distance2")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF)
     return out.withColumn("kept", kept).drop("__lang", "__source", *[f"__x{i}" for i in range(P)], *[c for c in model.columns if c[0] in "ml" and c[1:].isdigit()])
