@@ -1,3 +1,4 @@
+from collections import Counter
 import re
 
 import pytest
@@ -57,19 +58,21 @@ def test_stages_against_brute_force(spark, stages):
         return any(tuple(w[k : k + m]) in wins for m in lens for k in range(len(w) - m + 1))
 
     assert sorted(r.doc_id for r in rows[3]) == sorted(r.doc_id for r in rows[2] if not dirty(r.text))
-    # records hold the mixed documents
+    # shards hold the mixed documents
     import tiktoken
 
     enc = tiktoken.Encoding("t", pat_str=token_shards.PATTERN, mergeable_ranks=token_shards.vocabulary(), special_tokens={})
     want = sorted(len(enc.encode_ordinary(r.text)) + 1 for r in rows[4])
     assert sum(r.n_tokens for r in rows[5]) == sum(want)
-    assert sorted(r.slot for r in rows[5]) == list(range(len(rows[5])))
+    held = Counter(d for r in rows[5] for d in r.doc_ids)
+    assert held == sum((Counter({r.doc_id: -(-(len(enc.encode_ordinary(r.text)) + 1) // token_shards.LENGTH)}) for r in rows[4]), Counter())
+    assert sum(r.n_records for r in rows[5]) == sum(held.values()) and sorted(r.shard for r in rows[5]) == list(range(len(rows[5])))
     assert start.count() > len(rows[3])
 
 
 def test_run_and_empty(spark, stages, tmp_path):
     sf = "/root/testdata/sf0.001"
-    key = lambda r: (r.doc_id, r.seq, r.n_tokens)
+    key = lambda r: (r.shard, r.n_records, r.n_tokens, r.sha256)
     assert sorted(map(key, corpus_pipeline.run(spark, sf).collect())) == sorted(map(key, stages[-1].collect()))
     stages[0].limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
