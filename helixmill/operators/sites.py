@@ -64,26 +64,31 @@ def histogram_entropy(df: DataFrame, keys: list[str], value: str, most: int = 50
     return c.groupBy(*keys).agg(F.sum(-p * F.log2(p)).alias("entropy"))
 
 
-def islands(intervals: DataFrame, keys: list[str], start: str = "s", end: str = "e") -> DataFrame:
-    """Union of half-open intervals: ``keys, s, e``, touching ones joined."""
+def islands(intervals: DataFrame, keys: list[str], start: str = "s", end: str = "e", also: tuple[Column, ...] = ()) -> DataFrame:
+    """Union of half-open intervals: ``keys, s, e``, touching ones joined; ``also``: aggregates of an island's rows."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.select(*keys, start, end, F.when(far.isNull() | (F.col(start) > far), 1).otherwise(0).alias("new"))
+    marked = intervals.withColumn("new", F.when(far.isNull() | (F.col(start) > far), 1).otherwise(0))
     numbered = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min(start).alias("s"), F.max(end).alias("e")).drop("island")
+    return numbered.groupBy(*keys, "island").agg(F.min(start).alias("s"), F.max(end).alias("e"), *also).drop("island")
 
 
-def reach_windows(sites: DataFrame, keys: list[str], reach: int, length: Column) -> DataFrame:
-    """``[pos - reach, pos + reach)`` of each site, clipped to the sequence, never wrapped."""
-    return sites.select(*keys, length.alias("length"), F.greatest(F.lit(0), F.col("pos") - reach).alias("s"), F.least(length, F.col("pos") + reach).alias("e")).where("e > s")
+def reach_windows(sites: DataFrame, keys: list[str], reach: int, length: Column, beyond: bool = False) -> DataFrame:
+    """``[pos - reach, pos + reach)`` of each site, clipped to the sequence, never wrapped.
 
+    Sites that don't reach the sequence have none.  With ``beyond`` each keeps
+    a window of its own, as in plain SQL: it starts at ``pos - reach`` and ends
+    at the end of the sequence before that, so its size is negative.
+    """
+    w = sites.select(*keys, length.alias("length"), F.greatest(F.lit(0), F.col("pos") - reach).alias("s"), F.least(length, F.col("pos") + reach).alias("e"))
+    return w if beyond else w.where("e > s")
 
-def coverage(sites: DataFrame, keys: list[str], reach: int, length: Column) -> DataFrame:
-    """Covered bases and share per group."""
-    iv = reach_windows(sites, keys, reach, length)
-    size = iv.groupBy(*keys).agg(F.max("length").alias("length"))
-    c = islands(iv, keys).groupBy(*keys).agg(F.sum(F.col("e") - F.col("s")).alias("covered"), F.count("*").alias("islands"))
-    return c.join(size, keys).select(*keys, "covered", "islands", "length", (F.col("covered") / F.col("length")).alias("coverage"))
+
+def coverage(sites: DataFrame, keys: list[str], reach: int, length: Column, beyond: bool = False) -> DataFrame:
+    """Covered bases and share per group (``beyond``: see :func:`reach_windows`)."""
+    isl = islands(reach_windows(sites, keys, reach, length, beyond), keys, also=(F.max("length").alias("length"),))
+    c = isl.groupBy(*keys).agg(F.sum(F.col("e") - F.col("s")).alias("covered"), F.count("*").alias("islands"), F.max("length").alias("length"))
+    return c.select(*keys, "covered", "islands", "length", (F.col("covered") / F.col("length")).alias("coverage"))
 
 
 def holes(sites: DataFrame, keys: list[str], reach: int, length: Column, least: int) -> DataFrame:
