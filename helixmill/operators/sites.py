@@ -91,14 +91,12 @@ def coverage(sites: DataFrame, keys: list[str], reach: int, length: Column, beyo
     return c.select(*keys, "covered", "islands", "length", (F.col("covered") / F.col("length")).alias("coverage"))
 
 
-def holes(sites: DataFrame, keys: list[str], reach: int, length: Column, least: int) -> DataFrame:
-    """Uncovered runs longer than ``least``, both ends of the sequence included."""
-    iv = reach_windows(sites, keys, reach, length)
-    size = iv.groupBy(*keys).agg(F.max("length").alias("length"))
-    isl = islands(iv, keys)
+def holes(sites: DataFrame, keys: list[str], reach: int, length: Column, least: int, beyond: bool = False) -> DataFrame:
+    """Uncovered runs longer than ``least``, both ends of the sequence included (``beyond``: see :func:`reach_windows`)."""
+    isl = islands(reach_windows(sites, keys, reach, length, beyond), keys, also=(F.max("length").alias("length"),))
     w = Window.partitionBy(*keys).orderBy("s")
     inner = isl.select(*keys, F.coalesce(F.lag("e").over(w), F.lit(0)).alias("s"), F.col("s").alias("e"))
-    tail = isl.groupBy(*keys).agg(F.max("e").alias("s")).join(size, keys).select(*keys, "s", F.col("length").alias("e"))
+    tail = isl.groupBy(*keys).agg(F.max("e").alias("s"), F.max("length").alias("e"))
     return inner.unionByName(tail).select(*keys, "s", "e", (F.col("e") - F.col("s")).alias("size")).where(F.col("size") > least)
 
 
