@@ -37,3 +37,7 @@ def test_coverage_holes_past_the_end(spark, tmp_path):
 
 def test_efficiency_prediction_past_the_end(spark, tmp_path):
     assert {r[0] for r in against_sql(spark, tmp_path, "efficiency_prediction", lineitem=lines())} == {1, 2, 3}
+
+
+def test_quality_grade_past_the_end(spark, tmp_path):
+    assert {r[0] for r in against_sql(spark, tmp_path, "quality_grade", lineitem=lines())} == {1, 2, 3}
