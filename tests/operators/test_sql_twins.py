@@ -41,3 +41,7 @@ def test_efficiency_prediction_past_the_end(spark, tmp_path):
 
 def test_quality_grade_past_the_end(spark, tmp_path):
     assert {r[0] for r in against_sql(spark, tmp_path, "quality_grade", lineitem=lines())} == {1, 2, 3}
+
+
+def test_set_metrics_past_the_end(spark, tmp_path):
+    assert {r[0] for r in against_sql(spark, tmp_path, "set_metrics", lineitem=lines())} == {1, 2, 3}
