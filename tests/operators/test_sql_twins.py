@@ -1,9 +1,12 @@
 """Queries against their SQL on tables that the small scales don't have."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from helixmill.operators import vectors
 from helixmill.plans import queries
 
 
@@ -45,3 +48,18 @@ def test_quality_grade_past_the_end(spark, tmp_path):
 
 def test_set_metrics_past_the_end(spark, tmp_path):
     assert {r[0] for r in against_sql(spark, tmp_path, "set_metrics", lineitem=lines())} == {1, 2, 3}
+
+
+def embeddings(n=700):
+    """Vectors of which many are equal, opposite or zero's neighbours; every seventh is one and the same."""
+    rnd = random.Random(4)
+    vs = [[1.0, 2.0, 3.0, 4.0] if i % 7 == 0 else [rnd.choice((-1.0, -0.5, 0.25, 1.0)) for _ in range(4)] for i in range(n)]
+    return pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(vs, pa.list_(pa.float32()))})
+
+
+def test_cosine_top_k_of_small_blocks(spark, tmp_path, monkeypatch):
+    for name, size in {"ASKED": 11, "BLOCK": 90, "ROWS": 3, "COLUMNS": 17}.items():
+        monkeypatch.setattr(vectors, name, size)
+    against_sql(spark, tmp_path, "cosine_top_k", embeddings=embeddings())
+    rows, n = vectors.dealt(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id long, v array<double>"), "b", 6)
+    assert n == 4 and sorted(r.id for r in rows.collect()) == list(range(20))  # no row holds a block
