@@ -48,6 +48,18 @@ def r(c, digits: int = 6):
     return F.round(c, digits)
 
 
+def r_scaled(c, digits: int = 6):
+    """Round as DuckDB does: the scaled number to a whole one, halves away from zero.
+
+    ``F.round`` goes by the decimal digits of the number; the two differ on
+    halves that a double doesn't hold, which shows from some thousands on.
+    """
+    x = c * 10.0**digits
+    low = F.floor(F.abs(x))
+    near = F.signum(x) * (low + F.when(F.abs(x) - low >= 0.5, 1).otherwise(0))
+    return F.when(F.abs(x) < 2.0**52, near).otherwise(x) / 10.0**digits  # whole from there on
+
+
 MIN_FG, MAX_BG = 1e-5, 5e-4
 
 

@@ -5,6 +5,7 @@ import random
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from helixmill.operators import vectors
 from helixmill.plans import queries
@@ -22,9 +23,9 @@ def against_sql(spark, folder, name, **tables):
     return want
 
 
-def lines():
+def lines(at=None):
     """Sites within the length of 1,000,000, around it, past it, twice at a place past it, and of no genome."""
-    at = {1: [5, 400, 1500, 999_700], 2: [300, 999_990, 1_000_010, 1_000_060, 1_000_061, 1_000_400], 3: [2_000_000, 2_000_000, 2_000_500], 4: [1_000_060], None: [70, 5_000, 1_000_300]}
+    at = at or {1: [5, 400, 1500, 999_700], 2: [300, 999_990, 1_000_010, 1_000_060, 1_000_061, 1_000_400], 3: [2_000_000, 2_000_000, 2_000_500], 4: [1_000_060], None: [70, 5_000, 1_000_300]}
     rows = [(g, p, i + 1, "RAN"[i % 3]) for g, ps in at.items() for i, p in enumerate(ps)]
     kinds = {"l_suppkey": pa.int64(), "l_orderkey": pa.int64(), "l_linenumber": pa.int32(), "l_returnflag": pa.string()}
     return pa.table({k: pa.array(x, t) for (k, t), x in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
@@ -50,6 +51,20 @@ def test_set_metrics_past_the_end(spark, tmp_path):
     assert {r[0] for r in against_sql(spark, tmp_path, "set_metrics", lineitem=lines())} == {1, 2, 3}
 
 
+def test_set_metrics_of_halves_far_past_the_end(spark, tmp_path):
+    """Scores whose seventh decimal is a 5 that a double doesn't hold."""
+    far = {g: [p, p + step] for g, (p, step) in enumerate(((base + i, step) for base in (5_000_000, 6_000_000_000, 24_000_000_000) for i in range(40) for step in (1, 34)), 1)}
+    assert len(against_sql(spark, tmp_path, "set_metrics", lineitem=lines(far))) == len(far)
+
+
+def test_r_scaled(spark):
+    """DuckDB's rounding at halves, next to them, past the whole doubles, of no number and none."""
+    xs = [random.Random(5).randrange(-(10**12), 10**12) / 2e6 for _ in range(2000)] + [0.0, 0.4999999999999999e-6, 5e-7, -5e-7, 1.5e-6, 2.0**52 / 1e6, 4503599627.370497, -9007199254.740993, 1e17, -1e300, float("nan"), float("inf"), None]
+    want = duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()
+    got = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(queries.r_scaled(F.col("x"))).collect()
+    assert list(map(str, (g[0] for g in got))) == list(map(str, (w[0] for w in want)))
+
+
 def embeddings(n=700):
     """Vectors of which many are equal, opposite or zero's neighbours; every seventh is one and the same."""
     rnd = random.Random(4)
