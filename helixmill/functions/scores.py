@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +37,19 @@ def heuristic_score(s: Column, tm: Column, strong_share: Column | None = None) -
     return F.greatest(F.lit(0.0), F.least(F.lit(20.0), score))
 
 
-def set_score(coverage: Column, selectivity: Column, dimer: Column, gini: Column, tm_spread: Column, application: str = "balanced") -> Column:
+def set_score(coverage: Column, selectivity: Column, dimer: Column | float, gini: Column, tm_spread: Column | float, application: str = "balanced") -> Column:
+    """Weighted sum of five parts; a part of a plain number is weighed in decimals, as SQL's literals are."""
     w = APPLICATIONS[application]
     one = F.lit(1.0)
-    parts = (F.least(coverage, one), F.greatest(F.lit(0.0), F.least(selectivity / 100, one)), 1 - F.least(dimer, one), 1 - F.least(gini, one), F.greatest(F.lit(0.0), 1 - tm_spread / 20))
-    return w[0] * parts[0] + w[1] * parts[1] + w[2] * parts[2] + w[3] * parts[3] + w[4] * parts[4]
+    if isinstance(dimer, Column):
+        cross = w[2] * (1 - F.least(dimer, one))
+    else:
+        cross = F.lit(float(Decimal(str(w[2])) * (1 - min(Decimal(str(dimer)), 1))))
+    if isinstance(tm_spread, Column):
+        even = w[4] * F.greatest(F.lit(0.0), 1 - tm_spread / 20)
+    else:
+        even = F.lit(float(Decimal(str(w[4])) * max(0, 1 - Decimal(str(tm_spread)) / 20)))
+    return w[0] * F.least(coverage, one) + w[1] * F.greatest(F.lit(0.0), F.least(selectivity / 100, one)) + cross + w[3] * (1 - F.least(gini, one)) + even
 
 
 def rating(value: Column, bounds: tuple[float, ...], lower_better: bool = False) -> Column:

@@ -57,6 +57,12 @@ def test_set_metrics_of_halves_far_past_the_end(spark, tmp_path):
     assert len(against_sql(spark, tmp_path, "set_metrics", lineitem=lines(far))) == len(far)
 
 
+def test_set_metrics_of_halves_by_fixed_parts(spark, tmp_path):
+    """Scores near 0 that are halves only if the fixed parts are weighed as decimals."""
+    far = {g: [p, p + step] for g, (p, step) in enumerate(((base + i, step) for base in (1_999_950, 2_000_100) for i in range(100) for step in (1, 7, 60)), 1)}
+    assert len(against_sql(spark, tmp_path, "set_metrics", lineitem=lines(far))) == len(far)
+
+
 def test_r_scaled(spark):
     """DuckDB's rounding at halves, next to them, past the whole doubles, of no number and none."""
     xs = [random.Random(5).randrange(-(10**12), 10**12) / 2e6 for _ in range(2000)] + [0.0, 0.4999999999999999e-6, 5e-7, -5e-7, 1.5e-6, 2.0**52 / 1e6, 4503599627.370497, -9007199254.740993, 1e17, -1e300, float("nan"), float("inf"), None]
