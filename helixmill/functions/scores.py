@@ -52,21 +52,24 @@ def set_score(coverage: Column, selectivity: Column, dimer: Column | float, gini
     return w[0] * F.least(coverage, one) + w[1] * F.greatest(F.lit(0.0), F.least(selectivity / 100, one)) + cross + w[3] * (1 - F.least(gini, one)) + even
 
 
-def rating(value: Column, bounds: tuple[float, ...], lower_better: bool = False) -> Column:
-    """Piecewise-linear rating in [0, 1] through 1, 0.75, 0.5 and 0.25 at the four bounds, 0 at the open end."""
-    levels = (1.0, 0.75, 0.5, 0.25)
-    out = F.lit(levels[0])
-    if lower_better:
-        b = list(bounds)
-        out = F.when(value <= b[0], levels[0])
-        for i in range(1, 4):
-            out = out.when(value <= b[i], levels[i - 1] + (levels[i] - levels[i - 1]) * (value - b[i - 1]) / (b[i] - b[i - 1]))
-        return out.otherwise(F.greatest(F.lit(0.0), levels[3] * (2 - value / b[3])))
-    b = list(bounds)
-    out = F.when(value >= b[0], levels[0])
+def rating(value: Column | float, bounds: tuple[float, ...], lower_better: bool = False) -> Column:
+    """Piecewise-linear rating in [0, 1] through 1, 0.75, 0.5 and 0.25 at the four bounds, 0 at the open end.
+
+    Bounds and a plain number are subtracted from each other as decimals, as SQL's literals are.
+    """
+    levels, b = (1.0, 0.75, 0.5, 0.25), [Decimal(str(x)) for x in bounds]
+    v = value if isinstance(value, Column) else F.lit(value)
+
+    def above(x: Decimal) -> Column:
+        return v - float(x) if isinstance(value, Column) else F.lit(float(Decimal(str(value)) - x))
+
+    reaches = (lambda x: v <= float(x)) if lower_better else (lambda x: v >= float(x))
+    out = F.when(reaches(b[0]), levels[0])
     for i in range(1, 4):
-        out = out.when(value >= b[i], levels[i] + (levels[i - 1] - levels[i]) * (value - b[i]) / (b[i - 1] - b[i]))
-    return out.otherwise(F.greatest(F.lit(0.0), levels[3] * value / b[3]))
+        part = -above(b[i]) if lower_better else above(b[i])
+        out = out.when(reaches(b[i]), levels[i] + (levels[i - 1] - levels[i]) * part / float(abs(b[i - 1] - b[i])))
+    last = levels[3] * (1 - above(b[3]) / float(b[3])) if lower_better else levels[3] * v / float(b[3])
+    return out.otherwise(F.greatest(F.lit(0.0), last))
 
 
 def grade(score: Column) -> Column:

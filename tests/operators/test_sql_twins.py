@@ -63,6 +63,15 @@ def test_set_metrics_of_halves_by_fixed_parts(spark, tmp_path):
     assert len(against_sql(spark, tmp_path, "set_metrics", lineitem=lines(far))) == len(far)
 
 
+def test_quality_grade_of_halves(spark, tmp_path):
+    """Scores whose seventh decimal is a 5: even gaps and 8, 24 or 64 background sites, within the length and past it."""
+    kinds = {"l_suppkey": pa.int64(), "l_orderkey": pa.int64(), "l_linenumber": pa.int32(), "l_returnflag": pa.string()}
+    sets = [(base, step, bg, fg) for base, step in ((2_000_000, 1), (500, 121)) for bg in (8, 24, 64) for fg in range(1, 120, 2)]
+    rows = [(g, base + i * step, i, "R" if i < bg else "A") for g, (base, step, bg, fg) in enumerate(sets) for i in range(bg + fg)]
+    table = pa.table({k: pa.array(x, t) for (k, t), x in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
+    assert len(against_sql(spark, tmp_path, "quality_grade", lineitem=table)) == len(sets)
+
+
 def test_r_scaled(spark):
     """DuckDB's rounding at halves, next to them, past the whole doubles, of no number and none."""
     xs = [random.Random(5).randrange(-(10**12), 10**12) / 2e6 for _ in range(2000)] + [0.0, 0.4999999999999999e-6, 5e-7, -5e-7, 1.5e-6, 2.0**52 / 1e6, 4503599627.370497, -9007199254.740993, 1e17, -1e300, float("nan"), float("inf"), None]
